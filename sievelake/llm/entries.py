@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .minhash import near_duplicates
+from .mixing import mix_sources
+from .quality import quality_report
+from .sharding import assign_shards
 from .substring_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_bytes
 
@@ -20,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(_table(spark, sf_dir, "documents"), 50)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"), 50)
 
@@ -28,12 +35,25 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), 5, 75)
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+#: Bytes of text in a shard, for the sharding query and the pipeline.
+SHARD_BYTES = 1 << 20
+
+
+def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10).drop("spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_suffix_array_dedup, op6_minhash_near_dedup, op10_decontamination)}
+    all_of = (op1_substring_dedup, op2_quality_rules, op4_suffix_array_dedup, op6_minhash_near_dedup, op7_source_mixing, op9_extendible_sharding, op10_decontamination)
+    return {f.__name__: f for f in all_of}
 
 
 _OP1 = r"""
@@ -47,6 +67,33 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_r
 FROM d LEFT JOIN gone USING (doc_id)
 """
 
+_OP2 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+      length(regexp_replace(t, '\P{Lu}', '', 'g')) AS n_upper, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN r USING (doc_id)),
+v AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+      CASE WHEN n_words > 0 THEN least(100, 100 * n_symbols // n_words) ELSE 0 END AS symbol_score, CASE WHEN n_lines > 0 THEN least(100, 100 * n_dup_lines // n_lines) ELSE 0 END AS dup_line_score,
+      CASE WHEN n_words > 0 THEN least(100, 100 * n_repeat_words // n_words) ELSE 0 END AS repeat_score, CASE WHEN word_chars > 0 THEN least(100, 100 * n_upper // word_chars) ELSE 0 END AS upper_score FROM m),
+j AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT stratum, good, unnest([{'r': 'symbol_score', 's': symbol_score}, {'r': 'dup_line_score', 's': dup_line_score}, {'r': 'repeat_score', 's': repeat_score}, {'r': 'upper_score', 's': upper_score}]) AS x
+      FROM v JOIN j USING (doc_id) WHERE NOT base_failed),
+k AS (SELECT stratum, x.r AS rule, c, count(*) FILTER (good) AS n, count(*) FILTER (good AND x.s >= c) AS k, count(*) FILTER (NOT good AND x.s >= c) AS gain
+      FROM h, (SELECT unnest(range(1, 101)) AS c) GROUP BY ALL),
+s AS (SELECT stratum, max(n) AS n, count(*) OVER () AS strata FROM k GROUP BY stratum),
+p AS (SELECT stratum, i, strata, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))) OVER (PARTITION BY stratum ORDER BY i) AS tail
+      FROM (SELECT stratum, n, strata, unnest(range(0, ceil(n * 0.01)::BIGINT + 1)) AS i FROM s)),
+b AS (SELECT stratum, max(i) AS most FROM p WHERE tail <= 0.05 / (strata * 4) GROUP BY stratum),
+cut AS (SELECT stratum, rule, arg_max(c, {'g': gain - k, 'c': c}) AS c FROM k JOIN b USING (stratum) WHERE k <= most AND gain > k GROUP BY stratum, rule),
+x AS (SELECT stratum, max(c) FILTER (rule = 'symbol_score') AS c1, max(c) FILTER (rule = 'dup_line_score') AS c2, max(c) FILTER (rule = 'repeat_score') AS c3, max(c) FILTER (rule = 'upper_score') AS c4 FROM cut GROUP BY stratum)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (coalesce(symbol_score >= c1, false) OR coalesce(dup_line_score >= c2, false) OR coalesce(repeat_score >= c3, false) OR coalesce(upper_score >= c4, false)) AS kept
+FROM v LEFT JOIN x USING (stratum)
+"""
+
 _OP4 = r"""
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
 x AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
@@ -78,6 +125,29 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, coalesce(c, s.doc_id) AS componen
 FROM s LEFT JOIN c ON s.doc_id = c.node
 """
 
+_OP7 = r"""
+WITH c AS (SELECT coalesce(source, '<null>') AS s, count(*) AS n FROM documents GROUP BY 1),
+r AS (SELECT s, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM c),
+p AS (SELECT s, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS p
+      FROM (SELECT s, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM r)),
+a AS (SELECT s, list(p ORDER BY k) AS p FROM p GROUP BY s),
+d AS (SELECT *, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, 1 + len(list_filter(p, lambda x: u >= x))))::INT AS copy
+FROM d JOIN a ON a.s = coalesce(d.source, '<null>')
+"""
+
+_OP9 = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0) AS b FROM documents),
+t AS (SELECT 0 AS depth, h, b FROM d
+      UNION ALL
+      SELECT depth + 1, h, b FROM (SELECT *, sum(b) OVER (PARTITION BY depth, h >> (60 - depth)) AS s, min(h) OVER q AS lo, max(h) OVER q AS hi FROM t
+        WINDOW q AS (PARTITION BY depth, h >> (60 - depth))) WHERE s > 1048576 AND lo < hi AND depth < 60),
+m AS (SELECT h, max(depth) AS depth FROM t GROUP BY h)
+SELECT doc_id, text, lang, source, n_chars, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard_id, depth::INT AS shard_depth,
+       (sum(b) OVER (PARTITION BY depth, h >> (60 - depth)))::BIGINT AS shard_bytes, count(*) OVER (PARTITION BY depth, h >> (60 - depth)) AS shard_rows
+FROM d JOIN m USING (h)
+"""
+
 _OP10 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -96,4 +166,12 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op4_suffix_array_dedup": _OP4, "op6_minhash_near_dedup": _OP6, "op10_decontamination": _OP10}
+    return {
+        "op1_substring_dedup": _OP1,
+        "op2_quality_rules": _OP2,
+        "op4_suffix_array_dedup": _OP4,
+        "op6_minhash_near_dedup": _OP6,
+        "op7_source_mixing": _OP7,
+        "op9_extendible_sharding": _OP9,
+        "op10_decontamination": _OP10,
+    }
