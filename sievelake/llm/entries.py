@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
+from .language import identify_languages
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import quality_report
@@ -27,6 +28,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"), 50)
 
@@ -52,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_substring_dedup, op2_quality_rules, op4_suffix_array_dedup, op6_minhash_near_dedup, op7_source_mixing, op9_extendible_sharding, op10_decontamination)
+    all_of = (op1_substring_dedup, op2_quality_rules, op3_language_id, op4_suffix_array_dedup, op6_minhash_near_dedup, op7_source_mixing, op9_extendible_sharding, op10_decontamination)
     return {f.__name__: f for f in all_of}
 
 
