@@ -11,9 +11,11 @@ from .language import identify_languages
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import quality_report
+from .secrets import find_secrets
 from .sharding import assign_shards
 from .substring_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_bytes
+from .url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"), 50)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), 5, 75)
 
@@ -44,6 +50,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 #: Bytes of text in a shard, for the sharding query and the pipeline.
 SHARD_BYTES = 1 << 20
 
@@ -57,7 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_substring_dedup, op2_quality_rules, op3_language_id, op4_suffix_array_dedup, op6_minhash_near_dedup, op7_source_mixing, op9_extendible_sharding, op10_decontamination)
+    all_of = (op1_substring_dedup, op2_quality_rules, op3_language_id, op4_suffix_array_dedup, op5_secret_scan, op6_minhash_near_dedup, op7_source_mixing, op8_url_filter, op9_extendible_sharding, op10_decontamination)
     return {f.__name__: f for f in all_of}
 
 
