@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, shape: B
     able = signed.where("digest is not null and doc_id is not null")
     classes = materialize(able.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "classes")
     heads = materialize(able.join(classes.select(F.col("first_id").alias("doc_id"), F.col("digest").alias("of_digest")), "doc_id").where("digest = of_digest").drop("of_digest").groupBy("doc_id", "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "heads")
-    buckets = group_count(docs, 8 << 20, 1)
+    buckets = group_count(docs, 16 << 20)
 
     def shards(f, components: DataFrame | None, schema: str) -> DataFrame:
         members = heads.select("doc_id", "n_shingles", "bands")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import group_count
+from .store import group_count, materialize
 from .symbols import (
     BYTE_VALUE,
     NOT_SPACE,
@@ -407,10 +407,11 @@ def covered(group: _Group) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
 def cut_repeats(docs: DataFrame, scheme: Scheme, finish: Callable[[_Group], pa.Table], schema: str) -> DataFrame:
     """Run the four steps on (doc_id long, text string); ``finish`` makes the rows of a group."""
     groups = group_count(docs)
-    buckets = group_count(docs, 8 << 20, 1)
+    buckets = group_count(docs, 16 << 20)
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     digest = dealt.where("doc_id is not null and text is not null").select("g", "doc_id", "mark", F.sha2("text", 256).alias("digest"))
     least = digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
+    least = materialize(least, "copied-texts")  # read back, so that the join below is one whose hot digests Spark can split
     copies = digest.join(least, "digest").where("doc_id > least").select("g", "doc_id", "mark").mapInArrow(_as_control, _CONTROL)
 
     def together(told: DataFrame, f, schema: str) -> DataFrame:

@@ -57,13 +57,15 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def group_count(df: DataFrame, target_bytes: int = 4 << 20, per_partition: int = 4) -> int:
+def group_count(df: DataFrame, target_bytes: int = 4 << 20, least: int = 64) -> int:
     """How many hash groups to deal ``df`` into, so that one group stays near ``target_bytes`` of the plan's size.
 
-    It grows with the input, so a group's memory does not; never fewer than a few a shuffle partition.
+    It grows with the input, so a group's memory does not. It does not grow with the number of
+    shuffle partitions beyond ``least``: groups send one blob to each shard, and their product
+    must stay in proportion to the input.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     estimate = plan_bytes(df)
     if estimate > 1 << 60:  # unknown size, e.g. an RDD scan
         estimate = 0
-    return max(per_partition * partitions, -(-estimate // target_bytes))
+    return max(min(4 * partitions, least), -(-estimate // target_bytes))
