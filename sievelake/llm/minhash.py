@@ -10,10 +10,10 @@ minimum over slices.
 3. Band hashes of representatives meet in shards, packed. Each bucket proposes a star, every
    member with the smallest one: linear in the bucket, never its pairs.
 4. Proposed pairs are confirmed on full sets; confirmed links give components.
-5. Buckets that still hold several components are gone through again: members of different
-   components are compared on sketches, in blocks of bounded size, and only pairs whose
-   sketches agree well enough are confirmed on full sets. So a link between different texts
-   is lost only if banding never brings them together.
+5. Buckets that still hold several components are gone through again in blocks of bounded
+   size: members of different components whose sketches agree well enough are compared on full
+   sets, and each block gives the components it joins, not its pairs. So a link between
+   different texts is lost only if banding never brings them together.
 """
 
 from __future__ import annotations
@@ -147,49 +147,71 @@ def _opened(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def _stars(similarity: float):
+    """Each member of a bucket with its smallest one, where sizes allow; and (doc, doc) for members that some other member's size allows."""
+
     def propose(t: pa.Table) -> pa.Table:
-        _, docs, sizes, _, edges = _opened(t)
+        keys, docs, sizes, _, edges = _opened(t)
         first = np.repeat(edges[:-1], np.diff(edges))
         a, b = docs[first], docs
         small, large = np.minimum(sizes[first], sizes), np.maximum(sizes[first], sizes)
         ok = (a != b) & (small >= similarity * large)
-        pairs = np.unique(np.stack([a[ok], b[ok]], 1), axis=0)
+        by_size = np.lexsort((sizes, keys))
+        near = (keys[by_size][1:] == keys[by_size][:-1]) & (sizes[by_size][:-1] >= similarity * sizes[by_size][1:])
+        met = docs[by_size][np.r_[near, False] | np.r_[False, near]]
+        pairs = np.unique(np.concatenate([np.stack([a[ok], b[ok]], 1), np.stack([met, met], 1)]), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return propose
 
 
 _OPEN = "band long, doc_id long, component long, n_shingles long, of int"
-_COMPARED = 1024
+#: Most members of a block on average, and most bytes of their sets.
+_COMPARED, _COMPARED_BYTES = 1024, 16 << 20
 
 
 def _unsettled(t: pa.Table) -> pa.Table:
     """Members of the buckets that hold several components; ``of`` is the bucket's number of blocks."""
     keys, docs, sizes, components, edges = _opened(t)
-    low, high = (f(components, edges[:-1]) if len(components) else components for f in (np.minimum.reduceat, np.maximum.reduceat))
+    low, high, total = (f(x, edges[:-1]) if len(x) else x for f, x in ((np.minimum.reduceat, components), (np.maximum.reduceat, components), (np.add.reduceat, sizes)))
     n = np.diff(edges)
+    of = np.maximum(-(-n // _COMPARED), -(-8 * total // _COMPARED_BYTES))
     x = np.repeat(low != high, n)
-    return pa.table({"band": keys[x], "doc_id": docs[x], "component": components[x], "n_shingles": sizes[x], "of": np.repeat(-(-n // _COMPARED), n)[x].astype(np.int32)})
+    return pa.table({"band": keys[x], "doc_id": docs[x], "component": components[x], "n_shingles": sizes[x], "of": np.repeat(of, n)[x].astype(np.int32)})
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``percent`` / 100 or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
 
+def _close(percent: int, shape: Bands):
+    """Components that a link between members of one pair of blocks joins: each with the smallest of its group.
 
-def _close(similarity: float, shape: Bands):
-    """Pairs of different components of one bucket whose sizes and sketches allow the similarity."""
-    n = shape.coordinates
+    Only pairs of members still apart whose sizes and sketches allow the similarity are compared,
+    on full sets; what comes out is linear in the block's components, never its pairs.
+    """
+    n, similarity = shape.coordinates, percent / 100
     least = n * similarity - 5.5 * (n * similarity * (1 - similarity)) ** 0.5
 
     def compare(t: pa.Table) -> pa.Table:
-        docs, component, sizes = (np.asarray(t[c].combine_chunks()) for c in ("doc_id", "component", "n_shingles"))
-        side = np.asarray(t["side"].combine_chunks())
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(docs), n)
+        names, group = np.unique(np.asarray(t["component"].combine_chunks()), return_inverse=True)
+        sizes, side = (np.asarray(t[c].combine_chunks()) for c in ("n_shingles", "side"))
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(sizes), n)
+        sets = [np.frombuffer(x.as_buffer(), U) for x in t["shingles"]]
         right = np.flatnonzero(side != 0)
-        out = [np.empty((0, 2), np.int64)]
         for i in np.flatnonzero(side != 1):
-            j = right[(component[right] != component[i]) & (np.minimum(sizes[right], sizes[i]) >= similarity * np.maximum(sizes[right], sizes[i]))]
-            j = j[(sketch[j] == sketch[i]).sum(1) >= least]
-            if len(j):
-                out.append(np.stack([np.minimum(docs[i], docs[j]), np.maximum(docs[i], docs[j])], 1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            j = right[(group[right] != group[i]) & (np.minimum(sizes[right], sizes[i]) >= similarity * np.maximum(sizes[right], sizes[i]))]
+            for k in j[(sketch[j] == sketch[i]).sum(1) >= least]:
+                if group[k] != group[i] and _similar(sets[i], sets[k], percent):
+                    keep, gone = sorted((group[i], group[k]))
+                    group[group == gone] = keep
+        members = np.unique(np.stack([names[group], np.asarray(t["component"].combine_chunks())], 1), axis=0)
+        members = members[members[:, 0] != members[:, 1]]
+        return pa.table({"a": members[:, 0], "b": members[:, 1]})
 
     return compare
 
@@ -205,26 +227,12 @@ def _sets(words: int):
 def _confirmed(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["left"], batch["right"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [_similar(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(batch["left"], batch["right"], strict=True)]
             yield pa.record_batch([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return confirm
 
 
-def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have the similarity."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary")
-    sets = materialize(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "sets")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-    return materialize(joined.mapInArrow(_confirmed(percent), "a long, b long"), "links")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, shape: Bands | None = None) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of ``percent`` / 100 or more of their shingle sets.
 
@@ -252,15 +260,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, shape: B
         members = members.join(components, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", "bands", F.coalesce("component", "doc_id").alias("component")) if components is not None else members.withColumn("component", F.col("doc_id"))
         return members.mapInArrow(_packed(buckets, shape), "bucket int, payload binary").groupBy("bucket").applyInArrow(f, schema)
 
-    links = _links(docs, shards(_stars(percent / 100), None, "a long, b long"), words, percent)
+    pairs = materialize(shards(_stars(percent / 100), None, "a long, b long").distinct(), "pairs")
+    met = pairs.where("a = b").select(F.col("a").alias("doc_id"))
+    # Texts move once, at every size by the same kind of join; only those of documents that met another.
+    texts = docs.join(met.hint("merge"), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"))
+    sets = materialize(texts.mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
+    joined = pairs.where("a <> b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+    links = materialize(joined.mapInArrow(_confirmed(percent), "a long, b long"), "links")
     components = materialize(connected_components(links), "components")
 
     rest = materialize(shards(_unsettled, components, _OPEN), "unsettled")
     block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("of")).cast("int")
     spread = rest.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("block") == F.col("i"), 0).otherwise(1))
-    spread = spread.join(heads.select("doc_id", "sketch"), "doc_id").select("band", "i", "j", "side", "doc_id", "component", "n_shingles", "sketch")
-    more = _links(docs, spread.groupBy("band", "i", "j").applyInArrow(_close(percent / 100, shape), "a long, b long"), words, percent)
+    spread = spread.join(heads.select("doc_id", "sketch"), "doc_id").join(sets, "doc_id").select("band", "i", "j", "side", "component", "n_shingles", "sketch", "shingles")
+    more = materialize(spread.groupBy("band", "i", "j").applyInArrow(_close(percent, shape), "a long, b long").distinct(), "more")
     if not more.isEmpty():
         components = materialize(connected_components(links.unionByName(more)), "components")
 
