@@ -44,7 +44,7 @@ def base64_bytes(text: str) -> bytes | None:
         return None
 
 
-def _header(b: bytes, at: int) -> tuple[int, int, int] | None:
+def _header(b: bytes | memoryview, at: int) -> tuple[int, int, int] | None:
     """Tag, begin and end of the DER value at a place; None if its length does not fit."""
     if at + 2 > len(b):
         return None
@@ -59,7 +59,7 @@ def _header(b: bytes, at: int) -> tuple[int, int, int] | None:
     return (b[at], begin, begin + length) if begin + length <= len(b) else None
 
 
-def _nested(b: bytes, begin: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
+def _nested(b: bytes | memoryview, begin: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
     """The values between two places, if they fill them exactly, and those inside too."""
     out = []
     while begin < end:
@@ -73,11 +73,14 @@ def _nested(b: bytes, begin: int, end: int, depth: int = 0) -> list[tuple[int, i
     return out
 
 
-def der_key_length(b: bytes) -> int:
+def der_key_length(b: bytes | memoryview) -> int:
     """Length of the DER key at the start of the bytes, or 0: a sequence that starts with a version or an algorithm, and holds key material."""
     top = _header(b, 0)
     if top is None or top[0] != 0x30:
         return 0
+    first = _header(b, top[1])
+    if first is None or first[0] not in (0x02, 0x30):  # before the whole length is walked
+        return 0
     parts = _nested(b, top[1], top[2])
     if not parts or len(parts) < 2:
         return 0
@@ -132,13 +135,14 @@ def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
             else:
                 at = s.start() + 1
     for m in _ANY_HEX.finditer(text):
+        # Both alignments are decoded once; a candidate is a view of one of them.
+        raw = [memoryview(bytes.fromhex(m[0][odd : len(m[0]) - (len(m[0]) - odd) % 2])) for odd in (0, 1)]
         at = m[0].find("30")
         while at >= 0:
-            n = der_key_length(bytes.fromhex(m[0][at : len(m[0]) - (len(m[0]) - at) % 2]))
+            n = der_key_length(raw[at % 2][at // 2 :])
             if n >= 24:
                 yield "der", m.start() + at, m.start() + at + 2 * n
-                break
-            at = m[0].find("30", at + 1) if at < 64 else -1
+            at = m[0].find("30", at + 2 * n if n >= 24 else at + 1)
     for m in _JWT.finditer(text):
         head = _json_object(m[1])
         if head and isinstance(head.get("alg"), str) and _json_object(m[2]) is not None:

@@ -13,7 +13,7 @@ from sievelake.llm.language import identify_languages
 from sievelake.llm.minhash import near_duplicates
 from sievelake.llm.mixing import mix_sources
 from sievelake.llm.quality import quality_report
-from sievelake.llm.secrets import find_secrets
+from sievelake.llm.secrets import confirmed, find_secrets
 from sievelake.llm.sharding import assign_shards
 from sievelake.llm.substring_dedup import remove_repeated_passages
 from sievelake.llm.suffix_dedup import remove_repeated_bytes
@@ -96,6 +96,15 @@ def test_secrets_against_plain_patterns(spark):
     assert "jwt:" in got[10**6].spans
 
 
+def test_every_der_key_of_a_hex_run():
+    keys = ["30250201000420" + bytes(range(i, i + 32)).hex() for i in (100, 140)]
+    for before in ("", "ab" * 200, "30" * 60 + "a", "9" * 33 + "30" + "f" * 97):
+        text = "x " + before + keys[0] + "ff" * 50 + keys[1] + "ee" * 20 + " y"
+        starts = [text.index(k) for k in keys]
+        for t in (text, text.upper()):
+            assert [x for x in confirmed(t) if x[0] == "der"] == [("der", s, s + 78) for s in starts]
+
+
 def brute_rule(url):
     if url is None or "://" not in url:
         return "", "", None
