@@ -3,9 +3,10 @@
 Hosts with pages that a rule allows are trusted seeds, hosts with blocked pages distrusted
 ones, each in proportion to such pages. Trust is a personalised PageRank along the links,
 distrust one against them (a page that links to bad ones is suspect); both go round in one
-join. A host is blocked where its distrust exceeds its trust, and its distrust for each of
-its pages exceeds ``threshold`` times the mean. Edges are absolute links in the HTML, and a host's tie
-to its parent domain.
+join. Each is taken as a share of what the host would get if all pages were allowed, or blocked.
+A host is blocked where its distrust exceeds its trust, and ``threshold`` times its distrust
+exceeds 1 (at 2: it has more than half of the distrust of a wholly blocked web). Edges are
+absolute links in the HTML, and a host's tie to its parent domain.
 """
 
 from __future__ import annotations
@@ -46,32 +47,42 @@ def host_edges(hosts: DataFrame, links: DataFrame) -> DataFrame:
     return linked.unionByName(ties).unionByName(ties.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, most_rounds: int = 20, at_once: int = 5) -> DataFrame:
-    """(host, trust, distrust) from (host, t, d) seeds that sum to 1 each.
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, at_once: int = 5) -> DataFrame:
+    """(host, trust, distrust), shares of 0 to 1, from (host, n, t, d) seeds: pages, and how many of them are trusted and distrusted.
 
-    Every few rounds the ranks are written to the shared folder and compared with the last ones;
-    sums are combined before their shuffle, so a host that a third of all links go to is no hot key.
+    What all n pages would send is propagated beside t and d; the share is what a host has of the
+    rank it would get if every page were trusted, or distrusted. So it depends neither on how many
+    pages are ruled elsewhere nor on how much rank the host's edges keep or pass on.
+
+    Every few rounds the ranks are written to the shared folder and compared with the last ones,
+    until no share changes by ``tolerance``: the ranks converge as the powers of ``damping`` do.
+    Sums are combined before their shuffle, so a host that a third of all links go to is no hot key.
     """
 
     def shares(a: str, b: str, kind: str) -> DataFrame:
         total = edges.groupBy(a).agg(F.sum("w").alias("all"))
         return edges.join(total, a).select(F.col(a).alias("host"), F.col(b).alias("to"), (F.col("w") / F.col("all")).alias("share"), F.lit(kind).alias("kind"))
 
+    def share(part: str, whole: str) -> Column:
+        return F.coalesce(F.when(F.col(whole) > 0, F.col(part) / F.col(whole)), F.lit(0.0))
+
     steps = materialize(shares("src", "dst", "t").unionByName(shares("dst", "src", "d")), "host-steps")
-    ranks = seeds.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
-    if steps.isEmpty():
-        return ranks
-    for _ in range(0, most_rounds, at_once):
+    #: Ranks of the trusted and of all pages along the links, of the distrusted and of all against them.
+    kinds = {"trust": ("t", "t"), "all_t": ("n", "t"), "distrust": ("d", "d"), "all_d": ("n", "d")}
+    first = seeds.select("host", *(F.col(x).cast("double").alias(c) for c, (x, _) in kinds.items()))
+    ranks = first
+    settled = steps.isEmpty()
+    while not settled:
         before = ranks
         for _ in range(at_once):
-            sent = ranks.join(steps, "host").select(F.col("to").alias("host"), F.when(F.col("kind") == "t", damping * F.col("share") * F.col("trust")).otherwise(0.0).alias("trust"), F.when(F.col("kind") == "d", damping * F.col("share") * F.col("distrust")).otherwise(0.0).alias("distrust"))
-            given = seeds.select("host", ((1 - damping) * F.col("t")).alias("trust"), ((1 - damping) * F.col("d")).alias("distrust"))
-            ranks = given.unionByName(sent).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+            sent = ranks.join(steps, "host").select(F.col("to").alias("host"), *(F.when(F.col("kind") == k, damping * F.col("share") * F.col(c)).otherwise(0.0).alias(c) for c, (_, k) in kinds.items()))
+            given = first.select("host", *(((1 - damping) * F.col(c)).alias(c) for c in kinds))
+            ranks = given.unionByName(sent).groupBy("host").agg(*(F.sum(c).alias(c) for c in kinds))
         ranks = materialize(ranks, "host-ranks")
-        gap = ranks.join(before.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0")), "host", "left").agg(F.sum(F.abs(F.col("trust") - F.coalesce("t0", F.lit(0.0))) + F.abs(F.col("distrust") - F.coalesce("d0", F.lit(0.0))))).first()[0]
-        if (gap or 0.0) < tolerance:
-            break
-    return ranks
+        last = before.select("host", share("trust", "all_t").alias("t0"), share("distrust", "all_d").alias("d0"))
+        gap = ranks.join(last, "host", "left").agg(F.max(F.greatest(F.abs(share("trust", "all_t") - F.coalesce("t0", F.lit(0.0))), F.abs(share("distrust", "all_d") - F.coalesce("d0", F.lit(0.0)))))).first()[0]
+        settled = (gap or 0.0) < tolerance
+    return ranks.select("host", share("trust", "all_t").alias("trust"), share("distrust", "all_d").alias("distrust"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 2.0) -> DataFrame:
@@ -88,10 +99,9 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 2.0) -> DataFra
     judged = materialize(pages.select("page_id", host.alias("host"), path.alias("path"), F.transform(links, lambda x: F.translate(x, _UPPER, _LOWER)).alias("links")).withColumn("by_rule", best_rule(F.col("host"), F.col("path"), rules)), "pages")
     verdict = F.col("by_rule.verdict")
     hosts = materialize(judged.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(verdict == "allow").alias("allowed"), F.count_if(verdict == "block").alias("blocked")), "hosts")
-    all_pages, allowed, blocked = hosts.agg(F.sum("pages"), F.sum("allowed"), F.sum("blocked")).first()
-    seeds = hosts.where("host <> ''").select("host", (F.col("allowed") / F.lit(float(allowed or 1))).alias("t"), (F.col("blocked") / F.lit(float(blocked or 1))).alias("d"))
+    seeds = hosts.where("host <> ''").select("host", F.col("pages").alias("n"), F.col("allowed").alias("t"), F.col("blocked").alias("d"))
     edges = host_edges(hosts.where("host <> ''"), judged.select(F.col("host").alias("src"), F.explode("links").alias("dst")))
     ranks = propagate(seeds, materialize(edges, "host-edges"))
-    bad = hosts.join(ranks, "host").where((F.col("distrust") > F.col("trust")) & (F.col("distrust") * float(all_pages or 0) > threshold * F.col("pages"))).select("host", F.lit(True).alias("bad"))
+    bad = ranks.where((F.col("distrust") > F.col("trust")) & (threshold * F.col("distrust") > 1.0)).select("host", F.lit(True).alias("bad"))
     out = judged.join(bad, "host", "left")
     return out.select("page_id", "host", "path", F.col("by_rule.rule").alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from sievelake.llm.secrets import confirmed, find_secrets
 from sievelake.llm.sharding import assign_shards
 from sievelake.llm.substring_dedup import remove_repeated_passages
 from sievelake.llm.suffix_dedup import remove_repeated_bytes
-from sievelake.llm.url_filter import RULES, judge_urls
+from sievelake.llm.url_filter import RULES, judge_urls, propagate
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, h string, rank int"
@@ -136,6 +137,33 @@ def test_links_to_blocked_hosts_spread_distrust(spark):
     assert got[100] == "block" and got[300] == "allow" and got[1] == "block" and got[200] == "allow"
 
 
+def test_unruled_pages_of_mostly_blocked_hosts_are_blocked(spark):
+    # More than half of all pages are blocked by rule; there are no links, only the tie of x.b.net to its parent.
+    rows = [(i, f"http://a.net/{'es' if i % 10 else 'en'}/{i}", None) for i in range(40)]
+    rows += [(100 + i, f"http://x.b.net/{'fr' if i % 5 else 'de'}/{i}", None) for i in range(20)] + [(200, "http://b.net/es/", None)]
+    rows += [(300 + i, f"http://c.net/{'en' if i % 5 else 'es'}/{i}", None) for i in range(20)] + [(400 + i, f"http://d.org/{i}", None) for i in range(5)]
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in (0, 10, 20, 30, 100, 105, 110, 115)} == {(None, "block")}
+    assert {got[300 + i] for i in range(20) if i % 5} | {got[400 + i] for i in range(5)} == {(None, "allow")}
+
+
+def test_shares_are_those_of_dense_ranks(spark):
+    seeds = [("a", 4, 0, 4), ("b", 2, 1, 0), ("c", 3, 0, 0), ("d", 5, 5, 0), ("e", 1, 0, 0), ("lone", 4, 1, 3)]
+    edges = [("a", "b", 1.0), ("b", "c", 2.0), ("c", "a", 1.0), ("c", "d", 3.0), ("d", "e", 1.0), ("e", "d", 0.5)]
+    names = [s[0] for s in seeds]
+    w = np.zeros((6, 6))
+    for a, b, x in edges:
+        w[names.index(a), names.index(b)] = x
+    step = lambda m: m / np.maximum(m.sum(1, keepdims=True), 1e-300)
+    rank = lambda m, s: np.linalg.solve(np.eye(6) - 0.85 * step(m).T, np.array(s, float))
+    n, t, d = zip(*(s[1:] for s in seeds), strict=True)
+    want = dict(zip(names, zip(rank(w, t) / rank(w, n), rank(w.T, d) / rank(w.T, n), strict=True), strict=True))
+    got = propagate(spark.createDataFrame(seeds, "host string, n long, t long, d long"), spark.createDataFrame(edges, "src string, dst string, w double")).collect()
+    assert {r.host for r in got} == set(names)
+    for r in got:
+        assert abs(r.trust - want[r.host][0]) < 2e-3 and abs(r.distrust - want[r.host][1]) < 2e-3
+
+
 def test_language_accuracy_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = identify_languages(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'")
