@@ -17,6 +17,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievelake.llm.decontaminate import decontaminate
 from sievelake.llm.entries import SHARD_BYTES, oracle_sql
@@ -42,9 +43,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an occurrence of a benchmark window."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    """Rows without an occurrence of a benchmark window, whatever their doc_id: each is judged by its own text."""
+    rows = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "decontaminate-rows")
+    found = decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

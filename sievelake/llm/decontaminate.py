@@ -53,16 +53,16 @@ def build_index(docs: DataFrame) -> DataFrame:
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index_blocks, _INDEX), "positional-index")
 
 
-def _benchmark_windows(benchmark: DataFrame, window: int, chunk_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks of (item ids, windows as rows of term hashes padded with 0, lengths), each of some ``chunk_bytes`` at most."""
-    items: list[int] = []
+def _benchmark_windows(benchmark: DataFrame, window: int, chunk_bytes: int, unnamed: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of (item ids, windows as rows of term hashes padded with 0, lengths), each of some ``chunk_bytes`` at most; items without an id only if ``unnamed``."""
+    items: list[int | None] = []
     rows: list[np.ndarray] = []
     lengths: list[int] = []
 
     def chunk():
-        return np.array(items, np.int64), np.stack(rows), np.array(lengths, np.int64)
+        return np.array(items, object), np.stack(rows), np.array(lengths, np.int64)
 
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null" if unnamed else "item_id is not null and text is not null").toLocalIterator():
         buf, offsets = text_buffer(pa.array([r.text], pa.string()))
         terms, _ = word_hashes(buf, offsets, ALNUM, fold=True)
         for i in range(max(1, len(terms) - window + 1) if len(terms) else 0):
@@ -158,7 +158,8 @@ def _matches(items: np.ndarray, windows: np.ndarray, lengths: np.ndarray, rank:
                     np.add.at(step, start[x] - before[d] + lengths[which[x]], -1)
                     hit = np.diff(np.r_[0, (np.cumsum(step) > 0).astype(np.int8)])
                     spans[d] = np.sort(np.r_[np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)]).tolist()
-                    found[d] = np.unique(items[which[x]]).tolist()
+                    ids = set(items[np.unique(which[x])])
+                    found[d] = sorted(ids - {None}) + [None] * (None in ids)
                 n = len(r["doc_id"])
                 yield pa.record_batch(
                     [pa.array([r["block"]] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(r["doc_id"], pa.int64()), pa.array(np.diff(before)), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))],
@@ -168,14 +169,14 @@ def _matches(items: np.ndarray, windows: np.ndarray, lengths: np.ndarray, rank:
     return match
 
 
-def search_index(index: DataFrame, benchmark: DataFrame, window: int = 10, chunk_bytes: int = 16 << 20) -> DataFrame:
+def search_index(index: DataFrame, benchmark: DataFrame, window: int = 10, chunk_bytes: int = 16 << 20, unnamed: bool = False) -> DataFrame:
     """All exact occurrences of the benchmark's windows.
 
     Returns one row a document: block, row (its place in the index), doc_id, n_words, spans
-    (flat starts and ends, in words, of its maximal covered runs) and items (ids found, sorted).
+    (flat starts and ends, in words, of its maximal covered runs) and items (ids found, sorted; a null at the end for those without one).
     """
     parts = []
-    for items, windows, lengths in _benchmark_windows(benchmark, window, chunk_bytes):
+    for items, windows, lengths in _benchmark_windows(benchmark, window, chunk_bytes, unnamed):
         terms = np.unique(windows[windows != 0])
         counted = index.select("terms", "counts").mapInArrow(_term_counts(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # one row a term of the chunk at most
         df = np.zeros(len(terms), np.int64)
@@ -187,7 +188,7 @@ def search_index(index: DataFrame, benchmark: DataFrame, window: int = 10, chunk
             rank = np.argsort(seen[possible], axis=1, kind="stable")
             parts.append(index.mapInArrow(_matches(items[possible], windows[possible], lengths[possible], rank), _HITS))
     if not parts:
-        nothing = (np.empty(0, np.int64), np.empty((0, window), U), np.empty(0, np.int64), np.empty((0, window), np.int64))
+        nothing = (np.empty(0, object), np.empty((0, window), U), np.empty(0, np.int64), np.empty((0, window), np.int64))
         return index.mapInArrow(_matches(*nothing), _HITS)
     if len(parts) == 1:
         return parts[0]
@@ -212,21 +213,21 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(b.schema.get_field_index("spans"), "spans", pa.array(out, pa.list_(pa.int64())))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, unnamed: bool = False) -> DataFrame:
     """Which words of each document stand in an exact occurrence of a benchmark window.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are ignored.
     Words are runs of digits, ASCII letters (folded) and anything outside ASCII. An item of
     fewer words than a window is one window; one without words has none.
 
-    Defined cases: null texts have no words; items with a null id are ignored; items of one id
-    count once; each row of ``docs`` gives a row, whatever its doc_id; an empty benchmark hits
+    Defined cases: null texts have no words; items with a null id are ignored, or if ``unnamed``
+    searched too: they count as one item that items_sha256 does not list; items of one id count once; each row of ``docs`` gives a row, whatever its doc_id; an empty benchmark hits
     nothing.
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256 (ids as strings, sorted as strings,
     comma-joined), contaminated, spans.
     """
-    hits = search_index(build_index(docs), benchmark, window)
+    hits = search_index(build_index(docs), benchmark, window, unnamed=unnamed)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     ends = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return hits.select("doc_id", "n_words", ends.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (ends > 0).alias("contaminated"), "spans")

@@ -63,7 +63,7 @@ def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10).drop("spans")
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10, unnamed=True).drop("spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

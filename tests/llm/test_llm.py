@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sievelake.llm import entries
 from sievelake.llm.decontaminate import decontaminate
 from sievelake.llm.language import identify_languages
@@ -65,6 +66,26 @@ def test_planted_cases(spark):
     assert (hit[1], hit[2], hit[6]) == (60, 61, 0)  # the item without an id is ignored
 
 
+def test_decontaminate_stage_judges_rows(spark, tmp_path):
+    spark.createDataFrame([(1, PASSAGE), (None, "only in an item without an id")], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "a " + PASSAGE), (None, "clean"), (1, PASSAGE + " b"), (1, "clean too"), (1, None), (2, "it is Only in an item without an ID"), (3, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(None, "clean"), (1, "clean too"), (1, None), (3, "clean")], key=str)
+
+
+def test_items_without_an_id_as_in_sql(spark, tmp_path):
+    con = duckdb.connect()
+    items = [(1, PASSAGE), (None, "eleven"), (None, "TWELVE"), (12, "twelve"), (3, None)]
+    spark.createDataFrame([r[:2] for r in ROWS if r[0] != 2] + [ROWS[1][:2]], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df, r = entries.queries()["op10_decontamination"](spark, str(tmp_path)), con.execute(entries.oracle_sql()["op10_decontamination"])
+    cols = [c[0] for c in r.description]
+    assert sorted(map(tuple, df.select(cols).collect())) == sorted(r.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
