@@ -14,11 +14,11 @@ fixed size, each checked; more chunks mean more passes over the index.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +30,8 @@ _INDEX = "block string, doc_id array<long>, before binary, terms binary, counts
 
 
 def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A block's name is its place: what blocks hold may repeat. It is written with the index, so all searches read the same.
+    part, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         buf, offsets = text_buffer(batch["text"])
         for lo, hi in blocks(offsets, _BLOCK):
@@ -41,7 +43,7 @@ def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             counts = np.diff(np.r_[first, len(by_term)]).astype(np.int32)
             ids = batch["doc_id"].slice(lo, hi - lo)
             row = [before.astype(np.int64).tobytes(), by_term[first].tobytes(), counts.tobytes(), order.astype(np.int32).tobytes()]
-            name = hashlib.blake2b(b"".join(row[:2]) + str(ids.to_pylist()).encode(), digest_size=12).hexdigest()
+            name, number = f"{part}-{number}", number + 1
             yield pa.record_batch(
                 [pa.array([name]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in row)],
                 ["block", "doc_id", "before", "terms", "counts", "positions"],

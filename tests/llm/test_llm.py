@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sievelake.llm import entries
-from sievelake.llm.decontaminate import decontaminate
+from sievelake.llm.decontaminate import build_index, decontaminate, search_index
 from sievelake.llm.language import identify_languages
 from sievelake.llm.minhash import near_duplicates
 from sievelake.llm.mixing import mix_sources
@@ -86,6 +86,18 @@ def test_items_without_an_id_as_in_sql(spark, tmp_path):
     assert sorted(map(tuple, df.select(cols).collect())) == sorted(r.fetchall())
 
 
+@pytest.mark.parametrize("chunk_bytes", [1600, 16 << 20])
+def test_chunks_of_the_benchmark_keep_repeated_rows(spark, chunk_bytes):
+    rows = [(None, "x " + PASSAGE + " y"), (None, "x " + PASSAGE + " y"), (None, "y " + PASSAGE + " x"), (7, "clean"), (7, "clean"), (8, None)]
+    index = build_index(spark.createDataFrame(spark.sparkContext.parallelize(3 * rows, 3), "doc_id long, text string"))
+    assert index.count() == 3
+    items = spark.createDataFrame([(1, PASSAGE), (2, "other words of the benchmark"), (None, "Y")], ITEMS)
+    got = sorted(((r.doc_id, r.n_words, r.spans, r.items) for r in search_index(index, items, 10, chunk_bytes, unnamed=True).collect()), key=str)
+    hit = [(None, 62, [1, 62], [1, None])] * 2 + [(None, 62, [0, 61], [1, None])]
+    assert got == sorted(3 * (hit + [(7, 1, [], [])] * 2 + [(8, 0, [], [])]), key=str)
+    assert len({(r.block, r.row) for r in search_index(index, items, 10, chunk_bytes).collect()}) == 18
+
+
 @pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
