@@ -8,6 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it (in either case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, also where lambdas inside refer to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

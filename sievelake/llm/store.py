@@ -1,7 +1,8 @@
 """Where intermediate tables are kept, and how big plans are cut into groups.
 
-Every intermediate table goes to the folder the cluster names in ``spark.checkpoint.dir``;
-only where that setting is absent (tests, a laptop) a folder under the system's temp is used.
+Every intermediate table goes to the folder the cluster names in ``spark.checkpoint.dir``.
+Without that setting a folder under the system's temp is used if the master is local (tests,
+a laptop); on a cluster, whose executors would each write to a disk of their own, it is an error.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -19,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; sets a local one where none is configured."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sievelake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -37,10 +41,17 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every table written by :func:`materialize` in this process."""
-    while _written:
-        spark, path = _written.pop()
+def written() -> int:
+    """How many tables of this process are kept; a mark for :func:`release`."""
+    return len(_written)
+
+
+def release(since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written by :func:`materialize` in this process since a mark, but for the last ``keep``."""
+    last = _written[len(_written) - keep :]
+    gone = _written[since : len(_written) - keep]
+    _written[since:] = last
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
@@ -66,6 +77,7 @@ def group_count(df: DataFrame, target_bytes: int = 4 << 20, least: int = 64) ->
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     estimate = plan_bytes(df)
-    if estimate > 1 << 60:  # unknown size, e.g. an RDD scan
-        estimate = 0
+    if estimate > 1 << 60:  # no file sizes to go by, e.g. an RDD scan: the bytes of its strings are summed
+        size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"), F.lit(0)) + 8 * len(df.columns)
+        estimate = int(df.agg(F.sum(size.cast("long"))).first()[0] or 0)
     return max(min(4 * partitions, least), -(-estimate // target_bytes))
