@@ -13,15 +13,21 @@ positions of the corpus in one sort is available, so the work is routed:
 3. Runs of windows that share such a minimizer are *contexts*. A group sends each
    distinct context once, with its smallest doc_id, to the shard of its minimizer. There
    the operator's own structure (automaton or suffix array) resolves the contexts of a
-   minimizer against each other. Minimizers found in more than ``hot`` documents would
-   make a large shard: their windows are routed one by one, by the digest of the window
-   itself, where equal windows meet and nothing else does.
+   minimizer against each other: for each it tells which windows stand in an earlier
+   document than the context's first, and which stand in that first document or an earlier
+   one, which is what later holders of an equal context lose. Minimizers found in more than
+   ``hot`` documents would make a large shard: each of their windows is a context of its
+   own, routed by its digest, so that equal windows meet and nothing else does. The same
+   structure resolves them.
 4. What is covered goes back to the groups, which cut their documents.
 
-Skew: each group sends a minimizer, a context or a window once however often it has it,
-so copies of one passage in a third of all documents give one small entry a group.
-Memory: groups and shards are bounded by ``group_count``; a shard resolves one
-minimizer of at most ``hot`` contexts at a time. Entries travel in packed blobs.
+What is decided without the structure: whole copies of a text (SHA-256). Equal contexts are
+told by 128 bits, on the way to the shard and back.
+
+Skew: each group sends a minimizer or a context once however often it has it, so copies of
+one passage in a third of all documents give one small entry a group. Memory: groups and
+shards are bounded by ``group_count``; a shard resolves one minimizer of at most ``hot``
+contexts at a time. Entries travel in packed blobs.
 """
 
 from __future__ import annotations
@@ -62,7 +68,8 @@ class Scheme:
     unit: str
     length: int
     gram: int
-    resolve: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+    #: (content, begin, windows, minimizer and doc, which are held again, length) to two masks of each context; see ``passages``.
+    resolve: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
     hot: int = 1024
 
 
@@ -96,25 +103,22 @@ def _runs(scheme: Scheme, values: np.ndarray, before: np.ndarray) -> tuple[np.nd
     return starts, lengths, row[starts], mix64(low[starts]) >> U(16)
 
 
-def _bits(lengths: np.ndarray) -> np.ndarray:
-    """Masks with as many low bits."""
-    return ~U(0) >> (U(64) - lengths.astype(U))
-
-
 def _dealt(h48: np.ndarray, buckets: int) -> np.ndarray:
     """Borders of the buckets in a sorted array of 48-bit hashes."""
     return np.searchsorted(h48, (np.arange(buckets + 1, dtype=object) * (1 << 48) // buckets).astype(U))
 
 
-def _smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of each distinct key's smallest doc, and each position's group, in the order of keys."""
-    order = np.lexsort((docs, keys))
-    k = keys[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    group = np.empty(len(k), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return order[new], group
+def _classes(k1: np.ndarray, k2: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For equal pairs of keys: the place of the smallest doc, whether there are several docs, and each place's class."""
+    order = np.lexsort((docs, k2, k1))
+    a, b, d = k1[order], k2[order], docs[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    begin = np.flatnonzero(new)
+    end = np.r_[begin[1:], len(a)] - 1
+    member = np.empty(len(a), np.int64)
+    member[order] = np.cumsum(new) - 1
+    return order[begin], d[begin] != d[end] if len(a) else np.empty(0, bool), member
 
 
 _CONTROL = "g int, kind string, payload binary"
@@ -168,17 +172,21 @@ class _Group:
             yield lo, hi, symbols, values, before, starts[keep], lengths[keep], rows[keep] + lo, h[keep]
 
 
-def _keys(scheme: Scheme, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Digest of each context's symbols with its minimizer."""
-    return mix64(slice_hash(prefix_hash(values), starts, starts + lengths + scheme.length - 1) ^ h)
+def _keys(scheme: Scheme, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each context's symbols, 64 bits each."""
+    ends = starts + lengths + scheme.length - 1
+    return mix64(slice_hash(prefix_hash(values), starts, ends) ^ h), slice_hash(prefix_hash(mix64(values)), starts, ends)
 
 
-def _windows(scheme: Scheme, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First symbols of the windows of contexts, and two digests of each."""
-    at = ranges(starts, lengths)
-    a = slice_hash(prefix_hash(values), at, at + scheme.length)
-    b = slice_hash(prefix_hash(mix64(values)), at, at + scheme.length)
-    return at, a, b
+def _cooled(scheme: Scheme, hot: np.ndarray, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts, those of hot minimizers cut into single windows that are routed by their own digest."""
+    burning = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
+    if not burning.any():
+        return starts, lengths, rows, h
+    at = ranges(starts[burning], lengths[burning])
+    own = slice_hash(prefix_hash(values), at, at + scheme.length) >> U(16)
+    rest = ~burning
+    return np.r_[starts[rest], at], np.r_[lengths[rest], np.ones(len(at), lengths.dtype)], np.r_[rows[rest], np.repeat(rows[burning], lengths[burning])], np.r_[h[rest], own]
 
 
 def _minimizers(scheme: Scheme, buckets: int):
@@ -242,6 +250,10 @@ def _repeated(hot: int):
     return find
 
 
+#: In the byte of a context's number of windows: several documents of its group hold it.
+_SEVERAL = 128
+
+
 def _contexts(scheme: Scheme, buckets: int):
     def send(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -251,42 +263,29 @@ def _contexts(scheme: Scheme, buckets: int):
         out: list[tuple[int, str, bytes]] = [(g % buckets, k, p) for k, p in group.told if k in ("copy", "hot")]
         warm = np.unique(np.frombuffer(b"".join(group.payloads("warm")), U))
         hot = np.unique(np.frombuffer(b"".join(group.payloads("hot")), U))
-        cold: list[tuple] = []
-        single: list[tuple] = []
+        found: list[tuple] = []
         for _, _, symbols, values, _, starts, lengths, rows, h in group.parts() if len(warm) else ():
             hit = np.isin(h, warm)
-            starts, lengths, rows, h = starts[hit], lengths[hit], rows[hit], h[hit]
-            burning = np.isin(h, hot)
-            if burning.any():
-                _, a, b = _windows(scheme, values, starts[burning], lengths[burning])
-                d = np.repeat(group.ids[rows[burning]], lengths[burning])
-                first, _ = _smallest(a, d)
-                single.append((a[first], b[first], d[first]))
-            starts, lengths, rows, h = (x[~burning] for x in (starts, lengths, rows, h))
+            starts, lengths, rows, h = _cooled(scheme, hot, values, starts[hit], lengths[hit], rows[hit], h[hit])
             if len(starts):
-                key = _keys(scheme, values, starts, lengths, h)
+                k1, k2 = _keys(scheme, values, starts, lengths, h)
                 d = group.ids[rows]
-                first, _ = _smallest(key, d)
+                first, several, _ = _classes(k1, k2, d)
                 span = lengths[first] + scheme.length - 1
-                cold.append((h[first], key[first], d[first], lengths[first], symbols[ranges(starts[first], span)], span))
-        if cold:
-            h, key, d, lengths, content, span = (np.concatenate(x) for x in zip(*cold, strict=True))
+                found.append((h[first], k1[first], k2[first], d[first], several, lengths[first], symbols[ranges(starts[first], span)], span))
+        if found:
+            h, k1, k2, d, several, lengths, content, span = (np.concatenate(x) for x in zip(*found, strict=True))
             begin = np.cumsum(span) - span
-            first, _ = _smallest(key, d)
-            first = first[np.argsort(h[first], kind="stable")]
+            first, more, member = _classes(k1, k2, d)
+            more |= np.bincount(member, several, len(first)) > 0
+            order = np.argsort(h[first], kind="stable")
+            first, more = first[order], more[order]
             cut = _dealt(h[first], buckets)
             for b in np.flatnonzero(np.diff(cut)):
-                x = first[cut[b] : cut[b + 1]]
-                body = content[ranges(begin[x], span[x])]
-                out.append((int(b), "c", np.int64(len(x)).tobytes() + h[x].tobytes() + key[x].tobytes() + d[x].tobytes() + lengths[x].astype(np.uint8).tobytes() + body.tobytes()))
-        if single:
-            a, c, d = (np.concatenate(x) for x in zip(*single, strict=True))
-            first, _ = _smallest(a, d)
-            first = first[np.argsort(a[first], kind="stable")]
-            cut = _dealt(a[first] >> U(16), buckets)
-            for b in np.flatnonzero(np.diff(cut)):
-                x = first[cut[b] : cut[b + 1]]
-                out.append((int(b), "w", a[x].tobytes() + c[x].tobytes() + d[x].tobytes()))
+                part = slice(cut[b], cut[b + 1])
+                x = first[part]
+                numbers = lengths[x].astype(np.uint8) | np.where(more[part], _SEVERAL, 0).astype(np.uint8)
+                out.append((int(b), "c", np.int64(len(x)).tobytes() + b"".join(v[x].tobytes() for v in (h, k1, k2, d)) + numbers.tobytes() + content[ranges(begin[x], span[x])].tobytes()))
         return _table([g] * len(out), [k for _, k, _ in out], [p for _, _, p in out], [b for b, _, _ in out])
 
     return send
@@ -303,42 +302,34 @@ def _shard(scheme: Scheme):
             kinds.append(kind)
             out.append(payload)
 
-        cold, single = [], []
+        found = []
         for g, kind, p in zip(t["g"].to_pylist(), t["kind"].to_pylist(), t["payload"].to_pylist(), strict=True):
             if kind == "c":
                 n = int(np.frombuffer(p, np.int64, 1)[0])
-                h, key, d = (np.frombuffer(p, x, n, 8 + 8 * n * i) for i, x in enumerate((U, U, np.int64)))
-                lengths = np.frombuffer(p, np.uint8, n, 8 + 24 * n).astype(np.int64)
-                cold.append((np.full(n, g), h, key, d, lengths, np.frombuffer(p[8 + 25 * n :], dtype)))
-            elif kind == "w":
-                n = len(p) // 24
-                single.append((np.full(n, g), *(np.frombuffer(p, x, n, 8 * n * i) for i, x in enumerate((U, U, np.int64)))))
+                h, k1, k2, d = (np.frombuffer(p, x, n, 8 + 8 * n * i) for i, x in enumerate((U, U, U, np.int64)))
+                numbers = np.frombuffer(p, np.uint8, n, 8 + 32 * n)
+                found.append((np.full(n, g), h, k1, k2, d, numbers, np.frombuffer(p, dtype, -1, 8 + 33 * n) if dtype is np.uint8 else np.frombuffer(p[8 + 33 * n :], dtype)))
             else:
                 back(g, kind, p)
-        if cold:
-            g, h, key, d, lengths, content = (np.concatenate(x) for x in zip(*cold, strict=True))
+        if found:
+            g, h, k1, k2, d, numbers, content = (np.concatenate(x) for x in zip(*found, strict=True))
+            several, lengths = numbers >= _SEVERAL, (numbers & (_SEVERAL - 1)).astype(np.int64)
             span = lengths + scheme.length - 1
             begin = np.cumsum(span) - span
-            first, member = _smallest(key, d)
-            masks = np.zeros(len(first), U)
+            first, again, member = _classes(k1, k2, d)
+            again |= np.bincount(member, several, len(first)) > 0
+            masks, later = np.zeros(len(first), U), np.zeros(len(first), U)
             by = np.lexsort((d[first], h[first]))  # distinct contexts by minimizer, then by doc
-            edges = np.flatnonzero(np.r_[True, np.diff(h[first][by].view(np.int64)) != 0, True])
-            several = np.repeat(np.diff(edges) > 1, np.diff(edges))
-            if several.any():
-                x = by[several]
-                masks[x] = scheme.resolve(content, begin[first[x]], lengths[first[x]], np.stack([h[first[x]].view(np.int64), d[first[x]]]), scheme.length)
-            own = np.where(d > d[first][member], _bits(lengths), masks[member])
-            for x in (np.flatnonzero(g == i) for i in np.unique(g[own != 0])):
-                x = x[own[x] != 0]
-                back(int(g[x[0]]), "cover", key[x].tobytes() + own[x].tobytes())
-        if single:
-            g, a, b, d = (np.concatenate(x) for x in zip(*single, strict=True))
-            order = np.lexsort((d, b, a))
-            same = np.r_[False, (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])]
-            least = d[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(d))))]
-            later = order[d[order] > least]
-            for i in np.unique(g[later]):
-                back(int(i), "window", a[later[g[later] == i]].tobytes())
+            edges = np.flatnonzero(np.r_[True, h[first][by][1:] != h[first][by][:-1], True])
+            needed = np.repeat((np.diff(edges) > 1) | (np.add.reduceat(again[by].astype(int), edges[:-1]) > 0), np.diff(edges))
+            x = by[needed]
+            if len(x):
+                masks[x], later[x] = scheme.resolve(content, begin[first[x]], lengths[first[x]], np.stack([h[first[x]].view(np.int64), d[first[x]]]), again[x], scheme.length)
+            own = np.where(d > d[first][member], later[member], masks[member])
+            told = np.flatnonzero((own != 0) | (several & (later[member] != 0)))
+            for i in np.unique(g[told]):
+                x = told[g[told] == i]
+                back(int(i), "cover", k1[x].tobytes() + k2[x].tobytes() + d[x].tobytes() + own[x].tobytes() + later[member[x]].tobytes())
         return _table(gs, kinds, out)
 
     return resolve
@@ -348,52 +339,28 @@ def covered(group: _Group) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
     """Rows lo..hi at a time: their symbols, the symbols before each row, and which symbols are covered."""
     scheme = group.scheme
     hot = np.unique(np.frombuffer(b"".join(group.payloads("hot")), U))
-    told = [(np.frombuffer(p, U, len(p) // 16), np.frombuffer(p, U, len(p) // 16, len(p) // 2)) for p in group.payloads("cover")]
-    keys, masks = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.empty(0, U), np.empty(0, U))
-    order = np.argsort(keys)
-    keys, masks = keys[order], masks[order]
-    windows = np.unique(np.frombuffer(b"".join(group.payloads("window")), U))
-
-    # The first pass finds the smallest doc that holds each context or hot window within this group.
-    least: dict[str, list] = {"c": [], "w": []}
-    for *_, values, _, starts, lengths, rows, h in group.parts():
-        burning = np.isin(h, hot)
-        c = ~burning
-        least["c"].append((_keys(scheme, values, starts[c], lengths[c], h[c]), group.ids[rows[c]]))
-        if burning.any():
-            _, a, _ = _windows(scheme, values, starts[burning], lengths[burning])
-            first, _ = _smallest(a, d := np.repeat(group.ids[rows[burning]], lengths[burning]))
-            least["w"].append((a[first], d[first]))
-    first_of = {}
-    for kind, parts in least.items():
-        k, d = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, U), np.empty(0, np.int64))
-        first, _ = _smallest(k, d)
-        first_of[kind] = k[first], d[first]
-    del least
-
-    def looked_up(table: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(table, what), max(0, len(table) - 1))
-        return at, (table[at] == what) if len(table) else np.zeros(len(what), bool)
+    # Keys of contexts, the group's smallest doc that holds each, and the masks of this and of its other documents.
+    told = [np.frombuffer(p, U).reshape(5, -1) for p in group.payloads("cover")]
+    told = np.concatenate(told, axis=1) if told else np.empty((5, 0), U)
+    k1, k2, least, own, others = told[:, np.lexsort((told[1], told[0]))]
+    same = np.flatnonzero(np.r_[True, k1[1:] != k1[:-1], True])
+    most = int(np.diff(same).max()) if len(k1) else 0
 
     for lo, hi, symbols, values, before, starts, lengths, rows, h in group.parts():
-        burning = np.isin(h, hot)
-        c = ~burning
-        key, d = _keys(scheme, values, starts[c], lengths[c], h[c]), group.ids[rows[c]]
-        at, hit = looked_up(keys, key)
-        mask = np.where(hit, masks[at] if len(masks) else U(0), U(0))
-        at, _ = looked_up(first_of["c"][0], key)
-        mask = np.where(d > first_of["c"][1][at], _bits(lengths[c]), mask) if len(at) else mask
-        some = np.flatnonzero(mask)
-        bit = ranges(np.zeros(len(some), np.int64), lengths[c][some])
-        on = (np.repeat(mask[some], lengths[c][some]) >> bit.astype(U)) & U(1) == 1
-        found = [(np.repeat(starts[c][some], lengths[c][some]) + bit)[on]]
-        if burning.any():
-            at, a, _ = _windows(scheme, values, starts[burning], lengths[burning])
-            d = np.repeat(group.ids[rows[burning]], lengths[burning])
-            _, hit = looked_up(windows, a)
-            i, _ = looked_up(first_of["w"][0], a)
-            found.append(at[hit | (d > first_of["w"][1][i])])
-        begins = np.concatenate(found)
+        begins = np.empty(0, np.int64)
+        if len(k1) and len(starts):
+            starts, lengths, rows, h = _cooled(scheme, hot, values, starts, lengths, rows, h)
+            a, b = _keys(scheme, values, starts, lengths, h)
+            at, mask = np.searchsorted(k1, a), np.zeros(len(a), U)
+            for _ in range(most):  # keys that share their first 64 bits stand side by side
+                at = np.minimum(at, len(k1) - 1)
+                hit = (k1[at] == a) & (k2[at] == b)
+                mask = np.where(hit, np.where(group.ids[rows].view(U) == least[at], own[at], others[at]), mask)
+                at = at + 1
+            some = np.flatnonzero(mask)
+            bit = ranges(np.zeros(len(some), np.int64), lengths[some])
+            on = (np.repeat(mask[some], lengths[some]) >> bit.astype(U)) & U(1) == 1
+            begins = (np.repeat(starts[some], lengths[some]) + bit)[on]
         step = np.zeros(len(values) + 1, np.int64)
         np.add.at(step, begins, 1)
         np.add.at(step, begins + scheme.length, -1)

@@ -85,10 +85,23 @@ class SuffixAutomaton:
         return out
 
 
-def resolve_with_automata(content: np.ndarray, begin: np.ndarray, windows: np.ndarray, by: np.ndarray, length: int) -> np.ndarray:
-    """Mask of each context's windows that also start in an earlier document; contexts are sorted by (minimizer, doc)."""
+def _windows(automaton: SuffixAutomaton, sequence: list, length: int) -> int:
+    """Mask of the windows of ``length`` symbols that the automaton holds, from the matching statistics of the sequence."""
+    mask = 0
+    for i, m in enumerate(automaton.statistics(sequence)[length - 1 :]):
+        if m >= length:
+            mask |= 1 << i
+    return mask
+
+
+def resolve_with_automata(content: np.ndarray, begin: np.ndarray, windows: np.ndarray, by: np.ndarray, again: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of each context's windows that start in an earlier document, and (where ``again``) in its own first or an earlier one.
+
+    Contexts are sorted by (minimizer, doc). Each is streamed through the automaton of all earlier
+    documents; once its document is added, those that later documents hold again are streamed once more.
+    """
     shard, doc = by
-    masks = np.zeros(len(begin), U)
+    masks, later = np.zeros(len(begin), U), np.zeros(len(begin), U)
     at = 0
     while at < len(begin):
         automaton = SuffixAutomaton()
@@ -99,19 +112,17 @@ def resolve_with_automata(content: np.ndarray, begin: np.ndarray, windows: np.nd
             while same < len(begin) and shard[same] == shard[at] and doc[same] == doc[end]:
                 sequence = content[begin[same] : begin[same] + windows[same] + length - 1].tolist()
                 if end > at:
-                    mask = 0
-                    for i, m in enumerate(automaton.statistics(sequence)[length - 1 :]):
-                        if m >= length:
-                            mask |= 1 << i
-                    masks[same] = mask
+                    masks[same] = _windows(automaton, sequence, length)
                 waiting.append(sequence)
                 same += 1
-            if same < len(begin) and shard[same] == shard[at]:
+            if again[end:same].any() or (same < len(begin) and shard[same] == shard[at]):
                 for sequence in waiting:
                     automaton.add(sequence)
+                for i in np.flatnonzero(again[end:same]):
+                    later[end + i] = _windows(automaton, waiting[i], length)
             end = same
         at = end
-    return masks
+    return masks, later
 
 
 _SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"

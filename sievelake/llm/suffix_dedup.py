@@ -55,23 +55,29 @@ def longest_previous_factor(values: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(before, after[::-1])
 
 
-def resolve_with_lpf(content: np.ndarray, begin: np.ndarray, windows: np.ndarray, by: np.ndarray, length: int, most: int = 1 << 17) -> np.ndarray:
-    """Mask of each context's windows that also start in an earlier document; contexts are sorted by (minimizer, doc)."""
-    masks = np.zeros(len(begin), U)
+def resolve_with_lpf(content: np.ndarray, begin: np.ndarray, windows: np.ndarray, by: np.ndarray, again: np.ndarray, length: int, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of each context's windows that start in an earlier document, and (where ``again``) in its own first or an earlier one.
+
+    Contexts are sorted by (minimizer, doc). One that later documents hold again stands in the
+    suffix order a second time, as a document right after its first.
+    """
+    masks = np.zeros((2, len(begin)), U)
     edges = np.flatnonzero(np.r_[True, by[0][1:] != by[0][:-1], True])
-    total = np.r_[0, np.cumsum(windows)]
+    total = np.r_[0, np.cumsum(windows * (1 + again))]
+    rank = 2 * np.unique(by[1], return_inverse=True)[1]
     lo = 0
     while lo < len(edges) - 1:
         hi = max(lo + 1, int(np.searchsorted(total[edges], total[edges[lo]] + most, side="right")) - 1)
         x = np.arange(edges[lo], edges[hi])
+        x, copy = np.r_[x, x[again[x]]], np.r_[np.zeros(len(x), int), np.ones(int(again[x].sum()), int)]
         bit = ranges(np.zeros(len(x), np.int64), windows[x])
-        owner = np.repeat(x, windows[x])
+        owner, copy = np.repeat(x, windows[x]), np.repeat(copy, windows[x])
         order, lcp = suffix_order(content, begin[owner] + bit, length)
         on = np.empty(len(order), bool)
-        on[order] = longest_previous_factor(by[1][owner[order]], lcp) >= length
-        np.bitwise_or.at(masks, owner[on], U(1) << bit[on].astype(U))
+        on[order] = longest_previous_factor((rank[owner] + copy)[order], lcp) >= length
+        np.bitwise_or.at(masks, (copy[on], owner[on]), U(1) << bit[on].astype(U))
         lo = hi
-    return masks
+    return masks[0], masks[1]
 
 
 _SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

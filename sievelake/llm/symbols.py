@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
@@ -115,18 +116,28 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _digests(body: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit digest (XXH3) of each of the words that lie end to end in ``body``; each distinct word is digested once."""
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))]).dictionary_encode()
+    known = words.dictionary.to_pylist()
+    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, known), U, len(known))
+    return digests[np.asarray(words.indices)] if len(known) else np.empty(0, U)
+
+
 def word_hashes(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: bool = False, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word, and the number of words before each row (and after the last).
 
     fold lower-cases A-Z first. Temporaries cover ``most`` bytes at once (or one longer row).
     """
-    values = BYTE_VALUE[LOWER] if fold else BYTE_VALUE
     hashes, counts = [], np.zeros(len(offsets), np.int64)
     for lo, hi in blocks(offsets, most):
         part = buf[offsets[lo] : offsets[hi]]
         starts, ends, before = word_spans(part, offsets[lo : hi + 1] - offsets[lo], inside)
         counts[lo + 1 : hi + 1] = np.diff(before)
-        hashes.append(slice_hash(prefix_hash(values[part]), starts, ends))
+        body = part[inside[part]]
+        hashes.append(_digests(LOWER[body] if fold else body, ends - starts))
     return (np.concatenate(hashes) if hashes else np.empty(0, U)), np.cumsum(counts)
 
 
