@@ -25,12 +25,17 @@ KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?(?:PRIVATE|PUBLIC) KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+#: Type, header lines (as of encrypted keys), body; lines may also end in a written-out \\n.
+_PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*?(?:PRIVATE|PUBLIC) KEY|CERTIFICATE)-----(?:\s|\\[nr])*((?:[A-Z][A-Za-z0-9-]*: [^\r\n\\]*(?:\r?\n|(?:\\r)?\\n))*)"
+    r"([A-Za-z0-9+/=\s\\]+)-----END \1-----"
+)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 #: How the base64 of a DER sequence, of SSH public fields and of an SSH private key starts.
 _STARTS = re.compile(r"M[A-P]|AAAA[A-P]|b3BlbnNza")
+#: A key nests two or three levels; what goes deeper than this is none.
 _DEEPEST = 16
 
 
@@ -91,17 +96,22 @@ def der_key_length(b: bytes | memoryview) -> int:
     return top[2] if starts and material else 0
 
 
-def ssh_key_length(b: bytes) -> int:
-    """Length of the SSH key at the start of the bytes, or 0: named, then length-prefixed fields."""
-    if b.startswith(b"openssh-key-v1\0"):
-        at, fields = 15, 3
+def ssh_key_length(b: bytes | memoryview) -> int:
+    """Length of the SSH key at the start of the bytes, or 0: named, then length-prefixed fields.
+
+    A private key goes on with a cipher's, a key derivation's name and its options, the number of
+    keys, the public and the private part.
+    """
+    if bytes(b[:15]) == b"openssh-key-v1\0":
+        at, fields = 15, (0, 0, 0, None, 0, 0)
     else:
         n = int.from_bytes(b[:4], "big")
-        if not 7 <= n <= 64 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", b[4 : 4 + n]):
+        name = bytes(b[4 : 4 + n]) if n <= 64 else b""
+        if n < 7 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", name):
             return 0
-        at, fields = 4 + n, {b"ssh-ed25519": 1, b"ssh-rsa": 2, b"ssh-dss": 4}.get(b[4 : 4 + n], 2)
-    for _ in range(fields):
-        n = int.from_bytes(b[at : at + 4], "big")
+        at, fields = 4 + n, (0,) * {b"ssh-ed25519": 1, b"ssh-rsa": 2, b"ssh-dss": 4}.get(name, 2)
+    for field in fields:
+        n = int.from_bytes(b[at : at + 4], "big") if field is not None else 0
         if at + 4 > len(b) or at + 4 + n > len(b):
             return 0
         at += 4 + n
@@ -117,36 +127,64 @@ def _json_object(part: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+def _pem(headers: str, body: str, kind: str) -> bool:
+    raw = base64_bytes(re.sub(r"\\[nr]|\s", "", body))
+    if not raw:
+        return False
+    if "ENCRYPTED" in headers:  # the body is a cipher's blocks, with no structure of its own
+        return "DEK-Info:" in headers and len(raw) >= 16 and len(raw) % 8 == 0
+    top = _header(raw, 0)
+    return der_key_length(raw) == len(raw) or ssh_key_length(raw) > 0 or (kind == "CERTIFICATE" and top is not None and top[2] == len(raw))
+
+
+def _base64_keys(run: str) -> Iterator[tuple[str, int, int]]:
+    """Keys in a run of base64 characters: each alignment is decoded once, candidates are views of it, so the work is linear."""
+    plain = run.rstrip("=").replace("-", "+").replace("_", "/")
+    decoded: dict[int, memoryview] = {}
+    at = 0
+    while s := _STARTS.search(plain, at):
+        odd = s.start() % 4
+        if odd not in decoded:
+            decoded[odd] = memoryview(base64_bytes(plain[odd:]) or b"")
+        raw = decoded[odd][(s.start() - odd) // 4 * 3 :]
+        kind, n = ("der", der_key_length(raw)) if s[0][0] == "M" else ("ssh", ssh_key_length(raw))
+        if n >= 24:
+            at = min(len(run), s.start() + -(-n // 3) * 4)
+            yield kind, s.start(), at
+        else:
+            at = s.start() + 1
+
+
+def _hex_keys(run: str) -> Iterator[tuple[int, int]]:
+    """DER keys in a run of hex digits; both alignments are decoded once."""
+    raw = [memoryview(bytes.fromhex(run[odd : len(run) - (len(run) - odd) % 2])) for odd in (0, 1)]
+    at = run.find("30")
+    while at >= 0:
+        n = der_key_length(raw[at % 2][at // 2 :])
+        if n >= 24:
+            yield at, at + 2 * n
+        at = run.find("30", at + 2 * n if n >= 24 else at + 1)
+
+
 def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans whose structure was parsed."""
     for m in _PEM.finditer(text):
-        raw = base64_bytes(re.sub(r"\\[nr]|\s", "", m[2]))
-        if raw and (der_key_length(raw) == len(raw) or ssh_key_length(raw) or (m[1] == "CERTIFICATE" and _header(raw, 0) is not None and _header(raw, 0)[2] == len(raw))):
+        if _pem(m[2], m[3], m[1]):
             yield "pem", m.start(), m.end()
     for m in _BASE64.finditer(text):
-        at = 0
-        while s := _STARTS.search(m[0], at):
-            raw = base64_bytes(m[0][s.start() :])
-            kind, n = ("der", der_key_length(raw)) if s[0][0] == "M" and raw else ("ssh", ssh_key_length(raw or b""))
-            if n >= 24:
-                end = min(m.end(), m.start() + s.start() + -(-n // 3) * 4)
-                yield kind, m.start() + s.start(), end
-                at = end - m.start()
-            else:
-                at = s.start() + 1
+        for kind, start, end in _base64_keys(m[0]):
+            yield kind, m.start() + start, m.start() + end
     for m in _ANY_HEX.finditer(text):
-        # Both alignments are decoded once; a candidate is a view of one of them.
-        raw = [memoryview(bytes.fromhex(m[0][odd : len(m[0]) - (len(m[0]) - odd) % 2])) for odd in (0, 1)]
-        at = m[0].find("30")
-        while at >= 0:
-            n = der_key_length(raw[at % 2][at // 2 :])
-            if n >= 24:
-                yield "der", m.start() + at, m.start() + at + 2 * n
-            at = m[0].find("30", at + 2 * n if n >= 24 else at + 1)
-    for m in _JWT.finditer(text):
+        for start, end in _hex_keys(m[0]):
+            yield "der", m.start() + start, m.start() + end
+    at = 0
+    while m := _JWT.search(text, at):  # the parts of a chain of dotted names may start a token each
         head = _json_object(m[1])
         if head and isinstance(head.get("alg"), str) and _json_object(m[2]) is not None:
             yield "jwt", m.start(), m.end()
+            at = m.end()
+        else:
+            at = m.end(1) + 1
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -180,9 +218,11 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Secrets in every text of (doc_id, text); other columns are ignored.
 
-    Spans are kind:start:end in code points, by start then kind. Defined cases: a null text is
-    empty; each row gives a row whatever its doc_id; an empty table gives no rows. The scan is a
-    map over rows: nothing is shuffled.
+    Spans are kind:start:end in code points, by start then kind; equal ones count once. Defined
+    cases: a null text is empty; each row gives a row whatever its doc_id and however often it is
+    repeated; an empty table gives no rows; a very long text is scanned whole, in time linear in
+    its length (a run is decoded once an alignment, structures of more than 16 levels are no keys).
+    The scan is a map over rows: nothing is shuffled.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans.
     """
