@@ -191,13 +191,53 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN r USING (
 """
 
 
+#: Base spans only: no text of the tables holds a key or token that decodes, so all spans are base ones there.
+_OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT * FROM (VALUES (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8),
+      (1, 'access', 'AKIA[A-Z0-9]+', '(AKIA[A-Z0-9]+)', 16), (2, 'hex', '[0-9a-f]+', '([0-9a-f]+)', 32)) AS k(o, kind, p, g, least)),
+m AS (SELECT r, o, kind, g, least, regexp_extract_all(t, p) AS m, string_split_regex(t, p) AS b FROM d, k WHERE o < 2 OR regexp_matches(t, '[0-9a-f]{32}')),
+s AS (SELECT r, o, kind, g, least, m[i] AS x, list_sum(list_transform(list_slice(b, 1, i), lambda v: length(v))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda v: length(v))), 0) AS lo
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+f AS (SELECT r, o, kind, lo::BIGINT AS lo, kind || ':' || lo::BIGINT || ':' || (lo + length(x))::BIGINT AS v FROM s WHERE length(regexp_extract(x, g, 1)) >= least),
+a AS (SELECT r, count(*) FILTER (o = 0) AS n0, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2, string_agg(v, ',' ORDER BY lo, o) AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)
+"""
+
+#: 60 rounds of both ranks, after which no share changes by more than 0.85 ** 60.
+_OP8 = r"""
+WITH RECURSIVE u AS MATERIALIZED (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)) AS host,
+      regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1) AS links FROM pages),
+k AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS k(v, h, p)),
+b AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v FROM u JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+j AS MATERIALIZED (SELECT u.*, b.rule, b.v FROM u LEFT JOIN b USING (page_id)),
+hosts AS MATERIALIZED (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (v = 'allow')::DOUBLE AS t, count(*) FILTER (v = 'block')::DOUBLE AS d FROM j WHERE host <> '' GROUP BY host),
+links AS (SELECT host AS src, lower(unnest(links)) AS dst FROM j),
+ties AS (SELECT DISTINCT host AS src, regexp_extract(host, '^[^.]+\.([^.]+\..+)$', 1) AS dst FROM hosts WHERE regexp_matches(host, '^[^.]+\.([^.]+\..+)$')),
+edges AS MATERIALIZED (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, log2(count(*) + 1.0) AS w FROM links WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL
+      UNION ALL SELECT src, dst, 1.0 FROM ties UNION ALL SELECT dst, src, 1.0 FROM ties) GROUP BY ALL),
+steps AS MATERIALIZED (SELECT src AS host, dst AS too, w / sum(w) OVER (PARTITION BY src) AS share, 't' AS kind FROM edges UNION ALL SELECT dst, src, w / sum(w) OVER (PARTITION BY dst), 'd' FROM edges),
+r AS (SELECT 0 AS k, host, t, n AS nt, d, n AS nd FROM hosts
+      UNION ALL
+      SELECT k, host, sum(t), sum(nt), sum(d), sum(nd) FROM (
+        SELECT 1 + (SELECT max(k) FROM r) AS k, host, 0.15 * t AS t, 0.15 * n AS nt, 0.15 * d AS d, 0.15 * n AS nd FROM hosts
+        UNION ALL SELECT r.k + 1, too, CASE kind WHEN 't' THEN 0.85 * share * t ELSE 0 END, CASE kind WHEN 't' THEN 0.85 * share * nt ELSE 0 END,
+          CASE kind WHEN 'd' THEN 0.85 * share * d ELSE 0 END, CASE kind WHEN 'd' THEN 0.85 * share * nd ELSE 0 END FROM r JOIN steps USING (host)) WHERE k <= 60 GROUP BY k, host),
+bad AS (SELECT host FROM (SELECT host, CASE WHEN nt > 0 THEN t / nt ELSE 0 END AS trust, CASE WHEN nd > 0 THEN d / nd ELSE 0 END AS distrust FROM r WHERE k = 60) WHERE distrust > trust AND 2 * distrust > 1)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM j
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": _OP1,
         "op2_quality_rules": _OP2,
         "op4_suffix_array_dedup": _OP4,
+        "op5_secret_scan": _OP5,
         "op6_minhash_near_dedup": _OP6,
         "op7_source_mixing": _OP7,
+        "op8_url_filter": _OP8,
         "op9_extendible_sharding": _OP9,
         "op10_decontamination": _OP10,
     }

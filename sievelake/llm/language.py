@@ -20,8 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialize
 from .symbols import U
 
+#: Samples of more rows than this are joined by a shuffle.
+_BROADCAST_ROWS = 1_000_000
+
 _LETTER = np.zeros(0x110000, bool)
 
 
@@ -144,11 +148,17 @@ def train(labelled: DataFrame, columns: int = 1 << 14, sample: int = 500) -> Mod
     df[seen["column"].to_numpy()] = seen["n"].to_numpy()
     idf = np.log((1 + n) / (1 + df)) + 1
 
-    # Least hashes by language: each partition offers its own, so that the window sees few rows.
+    # The least hashes of each language. Hashes are even, so all that is sorted are some twice as
+    # many as wanted: those under a bound that follows from the language's number of ids.
     ranked = labelled.select("doc_id", "lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(5)).alias("h"))
-    offered = ranked.withColumn("part", F.spark_partition_id()).withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))).where(F.col("r") <= sample)
-    chosen = offered.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
-    wanted = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang")
+    counts = materialize(ranked.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.05).alias("ids")), "languages")
+    share = F.least(F.lit(1.0), (2.0 * sample + 100) / F.col("ids"))
+    offered = ranked.join(counts, "lang").where(F.col("h") <= (share - 0.5) * 2.0**64).select("lang", "doc_id", "h").distinct()
+    chosen = offered.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= sample).select("doc_id", "lang")
+    chosen = materialize(chosen, "training-sample")  # ``sample`` rows a language
+    small = chosen.count() <= _BROADCAST_ROWS
+    # Rows that repeat a doc_id train once, with the first of their texts.
+    wanted = labelled.join(F.broadcast(chosen) if small else chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     grams = wanted.mapInArrow(_sample_rows(idf), "h long, lang string, at binary, x binary").toPandas().sort_values(["h", "lang"], kind="stable")
     languages = sorted(grams["lang"].unique())
     if not languages:
@@ -207,7 +217,10 @@ def identify_languages(docs: DataFrame, columns: int = 1 << 14, sample: int = 50
 
     ``docs`` has doc_id, text and lang. Defined cases: null texts and texts without a letter are
     'und' with score 0, as is all where nothing was learned; a null doc_id is not held out and
-    does not train; rows that repeat a doc_id each give a row; an empty table gives no rows.
+    does not train; rows that repeat a doc_id each give a row and train once a language; very long
+    texts are read whole; of equal scores the first language wins; other columns are ignored
+    whatever their names; an empty table gives no rows. lang, source and doc_id of a row have no
+    part in its prediction.
 
     Returns doc_id, held_out, lang_pred, score (calibrated probability).
     """

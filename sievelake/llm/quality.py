@@ -42,7 +42,10 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` with the counts and scores of its texts in one struct column ``_m``; other columns pass unread."""
+    """``docs`` with the counts and scores of its texts in one struct column ``_m``; other columns pass unread.
+
+    Characters of n_symbols are counted as what ``translate`` takes away, which needs no pattern.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -55,7 +58,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
     counts = F.struct(
         let(words, of_words).alias("w"), let(lines, of_lines).alias("l"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"), F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
     )
 
     def percent(part: Column, whole: Column) -> Column:
@@ -125,30 +128,35 @@ def _judged(measured: DataFrame, cutoffs: DataFrame, stratum: str, score) -> Dat
     return joined.withColumn("_kept", ~score("base_failed") & ~rejected).drop("_of", *(f"_cut_{r}" for r in RULES))
 
 
-def _measured(docs: DataFrame, name: str = "measured") -> DataFrame:
-    stratum = F.coalesce(F.col("lang").cast("string"), F.lit("und")) if "lang" in docs.columns else F.lit("und")
-    return materialize(measure(docs).select(F.col("doc_id").cast("long").alias("doc_id"), stratum.alias("stratum"), "_m.*"), name)
+def _stratum(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("und")) if "lang" in docs.columns else F.lit("und")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
     """Counts and verdict of every document.
 
     ``docs`` has doc_id, text and, if there, lang (the stratum; null or absent: 'und').
-    Defined cases: null and empty texts have no words and fail the base rules; null doc_ids are
-    judged but not labelled; each row gives a row; empty tables give no rows; without enough
-    labels nothing is certified and only the base rules reject.
+    Defined cases: null and empty texts have no words and fail the base rules; very long texts are
+    measured whole; null doc_ids are judged but not labelled; each row gives a row, also one that
+    repeats a doc_id (each counts as a labelled one); of cutoffs that gain the same the most lenient
+    is used; other columns are ignored whatever their names; empty tables give no rows; without
+    enough labels nothing is certified and only the base rules reject.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
     """
-    measured = _measured(docs)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), _stratum(docs).alias("stratum")]
+    measured = materialize(measure(docs.select(*columns, "text")).select("doc_id", "stratum", "_m.*"), "measured")
     judged = _judged(measured, learn_cutoffs(measured, labels, alpha, delta), "stratum", F.col)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; no text is shuffled: scores are taken where the text is."""
-    measured = _measured(docs)
-    cutoffs = learn_cutoffs(measured, labels, alpha, delta)
-    stratum = F.coalesce(F.col("lang").cast("string"), F.lit("und")) if "lang" in docs.columns else F.lit("und")
-    judged = _judged(measure(docs).withColumn("_stratum", stratum), cutoffs, "_stratum", lambda c: F.col("_m")[c])
-    return judged.where("_kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with all their columns, for the cases that :func:`quality_report` defines.
+
+    Each text is measured once: rows are written with their scores, cutoffs are learned from the
+    scores, and the written rows are judged. No text is shuffled.
+    """
+    row = materialize(measure(docs.select(F.struct(*docs.columns).alias("_row"), "text", _stratum(docs).alias("_stratum"), F.col("doc_id").cast("long").alias("_id"))).drop("text"), "scored")
+    scores = row.select(F.col("_id").alias("doc_id"), F.col("_stratum").alias("stratum"), "_m.*")
+    judged = _judged(row, learn_cutoffs(scores, labels, alpha, delta), "_stratum", lambda c: F.col("_m")[c])
+    return judged.where("_kept").select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
