@@ -53,14 +53,14 @@ def find_shards(docs: DataFrame, max_bytes: int) -> DataFrame:
         up = sums.select("*", F.explode(F.sequence(F.lit(base), F.lit(depth))).alias("depth")).select("*", cut)
         tree = up.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.sum("keys").alias("keys"))
         fits = tree.where((F.col("bytes") <= max_bytes) | (F.col("keys") == 1)).drop("keys")
-        chosen = up.select("at", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("at").agg(F.min_by(F.struct("depth", "prefix", "bytes", "rows"), "depth").alias("s"))
-        chosen = materialize(sums.select("at").join(chosen, "at", "left"), "chosen")
+        chosen = up.select("at", "depth", "prefix").join(fits.hint("merge"), ["depth", "prefix"]).groupBy("at").agg(F.min_by(F.struct("depth", "prefix", "bytes", "rows"), "depth").alias("s"))
+        chosen = materialize(sums.select("at").join(chosen.hint("merge"), "at", "left"), "chosen")
         level = chosen.where("s is not null").select("s.*").distinct()
         found = level if found is None else found.unionByName(level)
         over = chosen.where("s is null").select("at")
         if depth == _BITS or over.isEmpty():
             return materialize(found, "shards")
-        sizes = sizes.withColumn("at", _prefix(F.col("h"), depth)).join(over, "at", "left_semi").drop("at")
+        sizes = sizes.withColumn("at", _prefix(F.col("h"), depth)).join(over.hint("merge"), "at", "left_semi").drop("at")
         base, depth = depth + 1, min(_BITS, depth + 8)
 
 

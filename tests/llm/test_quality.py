@@ -95,7 +95,7 @@ def test_the_method_rejects_in_a_report(spark):
     rows, labels = [], []
     for i in range(2400):
         good = i % 2 == 0
-        body = [f"w{rnd.randrange(10**6)}" for _ in range(20)] + (["#$"] * 8 if not good and i % 10 else [])
+        body = [f"w{rnd.randrange(10**6)}" for _ in range(20)] + ([f"#$#{k}" for k in range(8)] if not good and i % 10 else [])
         rows.append((i, " ".join(body), "en"))
         labels.append((i, int(good), 0))
     rows += [(None, " ".join(f"#$#${i}" for i in range(10)) + " " + " ".join(f"x{i}" for i in range(20)), "en"), (3000, None, None), (3001, " ".join(f"#$#${i}" for i in range(10)) + " " + " ".join(f"x{i}" for i in range(20)), None)]
