@@ -2,53 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.functions import cleaning, text as tx
 from sievelake.operators import conversation as cv, corpus as co, metrics as me, retrieval as rt, runtime as ru
+from sievelake.plans.base import QUERIES, STATEMENTS, Query
+from sievelake.plans.base import query as _query
+from sievelake.plans.base import sql_collapse as _flat
+from sievelake.plans.base import sql_count as _n
+from sievelake.plans.base import sql_list as _list
+from sievelake.plans.base import sql_preview as _preview
+from sievelake.plans.base import sql_tokens as _toks
+from sievelake.plans.base import table as _t
 from sievelake.streaming import windows as sw
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_oracle: dict[str, str] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _oracle[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _t(s: SparkSession, d: str, name: str) -> DataFrame:
-    return s.read.parquet(f"{d}/{name}.parquet")
-
-
-def _list(words: list[str]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
-def _toks(c: str, stop: list[str]) -> str:
-    return f"list_distinct(list_filter(regexp_extract_all(lower({c}), '{tx.TOKEN}'), lambda t: NOT list_contains({_list(stop)}, t)))"
-
-
-def _flat(c: str) -> str:
-    return f"trim(regexp_replace({c}, '{tx.SPACE}', ' ', 'g'))"
-
-
-def _n(c: str, pattern: str) -> str:
-    return f"len(regexp_extract_all({c}, '{pattern}'))"
-
-
-def _preview(c: str, limit: int) -> str:
-    return f"CASE WHEN length({_flat(c)}) <= {limit} THEN {_flat(c)} ELSE rtrim(substr({_flat(c)}, 1, {limit - 3}), ' ') || '...' END"
-
 
 # --- text and corpus
 
@@ -351,9 +319,13 @@ def events_session(s, d):
     return sw.session_counts(_t(s, d, "events"))
 
 
+# Modules with more queries; they stand on this one.
+from sievelake.plans import judging as _judging  # noqa: E402, F401
+
+
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracle)
+    return dict(STATEMENTS)
