@@ -321,6 +321,7 @@ def events_session(s, d):
 
 # Modules with more queries; they stand on this one.
 from sievelake.plans import judging as _judging  # noqa: E402, F401
+from sievelake.plans import scalars as _scalars  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:
