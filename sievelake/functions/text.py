@@ -6,16 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Word lists and character classes that results depend on.
-EVIDENCE_STOPWORDS = "a an and are as at be by for from how in is it of on or that the this to use what when where which with without".split()
-POLLUTION_STOPWORDS = EVIDENCE_STOPWORDS + "answer chunk chunks content document documents evidence query question result results retrieval source sources".split()
-TOPOLOGY_STOPWORDS = "about after and are body can for from how into the this under what when where which with".split()
-AMBIGUOUS_TERMS = "api config guide key manual model policy profile runtime service setup token".split()
+EVIDENCE_STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "use", "what", "when",
+    "where", "which", "with", "without",
+]
+POLLUTION_STOPWORDS = EVIDENCE_STOPWORDS + [
+    "answer", "chunk", "chunks", "content", "document", "documents", "evidence", "query", "question", "result", "results", "retrieval", "source", "sources",
+]
+TOPOLOGY_STOPWORDS = ["about", "after", "and", "are", "body", "can", "for", "from", "how", "into", "the", "this", "under", "what", "when", "where", "which", "with"]
+AMBIGUOUS_TERMS = ["api", "config", "guide", "key", "manual", "model", "policy", "profile", "runtime", "service", "setup", "token"]
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 TOKEN = r"[0-9A-Za-z_\x{4E00}-\x{9FFF}]+"
 TERM = r"[A-Za-z][A-Za-z0-9_-]{2,}|[\x{4E00}-\x{9FFF}]{2,12}"
 CJK = r"[\x{4E00}-\x{9FFF}]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """Every run of Unicode white space as one blank, ends trimmed."""
     return F.trim(F.regexp_replace(text, SPACE, " "))
@@ -75,7 +85,9 @@ def token_estimate(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower-case runs of a-z and 0-9 joined by hyphens; 'unknown' if nothing is left."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(F.coalesce(name, F.lit("")) == "", "unknown").otherwise(name)
 
 
 def control_chars(text: Column) -> Column:

@@ -63,7 +63,7 @@ def anchor_turns(turns: DataFrame) -> DataFrame:
 def route(questions: DataFrame, bases: DataFrame, default: str | None = None) -> DataFrame:
     """The knowledge base (name, hints, description) of each question (query_id, question).
 
-    Score: 10 for each hint inside the question, else its shared tokens; 0.5 where the name's
+    Score: 10 for each hint inside the question, else its shared tokens (blank hints count nothing); 0.5 where the name's
     tokens meet; up to 1 of 0.25 for each token of the description. Highest score, then name;
     at 0 the default. The table of bases is a configuration, folded to one row's array, so
     questions never shuffle.
@@ -72,7 +72,7 @@ def route(questions: DataFrame, bases: DataFrame, default: str | None = None) ->
     q = F.lower(F.col("question"))
     t = tx.route_tokens(F.col("question"))
     hint = lambda h: F.when(F.contains(q, F.lower(h)), F.lit(10.0)).otherwise(F.size(F.array_intersect(t, tx.route_tokens(h))).cast("double"))
-    score = lambda k: (F.aggregate(k["hints"], F.lit(0.0), lambda s, h: s + hint(h)) + F.when(F.arrays_overlap(t, k["nt"]), 0.5).otherwise(0.0) + F.least(F.lit(1.0), 0.25 * F.size(F.array_intersect(t, k["dt"]))))
+    score = lambda k: (F.aggregate(F.filter(k["hints"], lambda h: F.trim(h) != ""), F.lit(0.0), lambda s, h: s + hint(h)) + F.when(F.arrays_overlap(t, k["nt"]), 0.5).otherwise(0.0) + F.least(F.lit(1.0), 0.25 * F.size(F.array_intersect(t, k["dt"]))))
     ranked = F.array_sort(F.transform("bases", lambda k: F.struct((-score(k)).alias("m"), k["name"].alias("name"))))
     out = questions.crossJoin(F.broadcast(b)).select("query_id", ranked.alias("r")).select("query_id", (-F.col("r")[0]["m"]).alias("score"), F.col("r")[0]["name"].alias("name"))
     return out.select("query_id", F.abs("score").alias("score"), F.when(F.col("score") > 0, F.col("name")).otherwise(F.lit(default)).alias("selected"), (F.col("score") < 2).alias("low_confidence"))

@@ -39,13 +39,17 @@ def unpivot(metrics: DataFrame) -> DataFrame:
     return metrics.unpivot([], NAMES, "metric", "actual")
 
 
-def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
+def gate(metrics: DataFrame, thresholds: DataFrame, deltas: DataFrame | None = None) -> DataFrame:
     """Checks of (metric, actual) against (metric, op, threshold); a null on either side gives no check.
 
-    ``min`` passes from the threshold up, ``max`` down to it, ``drop`` where actual >= -threshold.
+    ``min`` passes from the threshold up, ``max`` down to it. ``drop`` looks at the metric's change
+    (the ``absolute`` of ``deltas``) and passes from -threshold up; without ``deltas`` it is not checked.
     """
+    change = metrics.select("metric", F.lit(None).cast("double").alias("absolute")) if deltas is None else deltas.select("metric", "absolute")
+    j = thresholds.join(metrics, "metric", "left").join(change, "metric", "left")
+    j = j.withColumn("actual", F.when(F.col("op") == "drop", F.col("absolute")).otherwise(F.col("actual"))).drop("absolute")
     ok = F.when(F.col("op") == "min", F.col("actual") >= F.col("threshold")).when(F.col("op") == "max", F.col("actual") <= F.col("threshold")).otherwise(F.col("actual") >= -F.col("threshold"))
-    return thresholds.join(metrics, "metric").where("actual IS NOT NULL AND threshold IS NOT NULL").withColumn("passed", ok)
+    return j.where("actual IS NOT NULL AND threshold IS NOT NULL").withColumn("passed", ok)
 
 
 def metric_delta(current: DataFrame, baseline: DataFrame) -> DataFrame:
