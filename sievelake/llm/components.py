@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Small star: the smaller neighbours of a node, and the node, are tied to the least of them.
         least = _least(large)
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = materialize(small, "edges")
+        last, edges = edges, materialize(small, "edges")
+        discard(last)
         # Nothing moves once the edges are stars; the sum tells one state from another.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import group_count, materialize
+from .store import discard, group_count, materialize
 from .symbols import NOT_SPACE, U, blocks, gram_hash, mix64, text_buffer, word_hashes
 
 #: Places on the ring; the rank table has so many entries.
@@ -288,6 +288,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, shape: B
     more = materialize(spread.groupBy("band", "i", "j").applyInArrow(_close(percent, shape), "a long, b long").distinct(), "more")
     if not more.isEmpty():
         components = materialize(connected_components(links.unionByName(more)), "components")
+    discard(heads, pairs, sets, links, rest, more)
 
     of_class = classes.join(components, F.col("first_id") == F.col("node"), "left").select("digest", F.coalesce("component", "first_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")

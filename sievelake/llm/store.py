@@ -38,7 +38,25 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     path = f"{shared_dir(spark)}/sievelake/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session is already stopped
+        return
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables as :func:`materialize` returned them; whoever calls this reads none of them any more, nor anything lazy over them."""
+    gone = {t.kept_at for t in tables}
+    for spark, path in [x for x in _written if x[1] in gone]:
+        _written.remove((spark, path))
+        _delete(spark, path)
 
 
 def written() -> int:
@@ -52,12 +70,7 @@ def release(since: int = 0, keep: int = 0) -> None:
     gone = _written[since : len(_written) - keep]
     _written[since:] = last
     for spark, path in gone:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session is already stopped
-            return
+        _delete(spark, path)
 
 
 atexit.register(release)
