@@ -8,10 +8,28 @@ from pyspark.sql import functions as F
 from sievelake.functions import text as tx
 
 # Words and patterns of the intent rules.
-PRONOUNS = "it this that they them those these 它 这个 那个".split()
-REFERENCES = PRONOUNS + "above previous earlier 上述".split()
-COMPARISON = r"\b(compare|differences?|versus|vs|pros and cons|trade-?offs?|which is better)\b"
-CURRENT = r"\b(weather|stock price|sports score|latest news|today'?s news|flight status)\b"
+PRONOUNS = ["it", "this", "that", "they", "them", "those", "these", "它", "这个", "那个"]
+REFERENCES = PRONOUNS + ["above", "previous", "earlier", "上述"]
+COMPARISON_PATTERNS = [
+    r"\bcompare\b",
+    r"\bdifference\b",
+    r"\bdifferences\b",
+    r"\bversus\b",
+    r"\bvs\.?\b",
+    r"\bpros and cons\b",
+    r"\btrade-?offs?\b",
+    r"\bwhich is better\b",
+]
+CURRENT_PATTERNS = [
+    r"\bweather\b",
+    r"\bstock price\b",
+    r"\bsports score\b",
+    r"\blatest news\b",
+    r"\btoday'?s news\b",
+    r"\bflight status\b",
+]
+#: One expression a rule.
+COMPARISON, CURRENT = "|".join(COMPARISON_PATTERNS), "|".join(CURRENT_PATTERNS)
 STARTER = r"^((what|how) about\b|(and|also|then)\b|那|那么|还有|另外)"
 
 

@@ -103,29 +103,43 @@ def stratified_allocation(docs: DataFrame, size: int, by: str = "lang") -> DataF
 
 
 def stratified_sample(docs: DataFrame, size: int, by: str = "lang", seed: str = "s") -> DataFrame:
-    """The allocated number of rows of each stratum, smallest seeded sha256 of the id first."""
-    alloc = stratified_allocation(docs, size, by).select("stratum", "allocated")
-    d = docs.withColumn("stratum", F.coalesce(by, F.lit("unknown"))).withColumn("h", F.sha2(F.concat(F.lit(seed), F.col("doc_id").cast("string")), 256))
+    """The allocated number of rows of each stratum, smallest seeded sha256 of the id first.
+
+    The hashes are even, so those wanted are under a bound that follows from the stratum's rows:
+    twice the share, and some more. Only rows under it are sorted; a stratum in which repeated ids
+    leave too few of them is sorted whole.
+    """
+    alloc = stratified_allocation(docs, size, by).select("stratum", "n", "allocated")
+    bound = F.least(F.lit(1.0), (2.0 * F.col("allocated") + 100) / F.col("n"))
+    d = docs.select("doc_id", F.coalesce(by, F.lit("unknown")).alias("stratum")).withColumn("h", F.sha2(F.concat(F.lit(seed), F.col("doc_id").cast("string")), 256))
+    d = d.withColumn("u", F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32).join(F.broadcast(alloc.withColumn("bound", bound)), "stratum")
+    under = d.where(F.col("u") <= F.col("bound"))
+    enough = under.groupBy("stratum").agg((F.count("*") >= F.first("allocated")).alias("enough"))
+    chosen = d.join(F.broadcast(enough), "stratum", "left").where((F.col("u") <= F.col("bound")) | ~F.coalesce("enough", F.lit(False)))
     w = Window.partitionBy("stratum").orderBy("h", "doc_id")
-    return d.withColumn("i", F.row_number().over(w)).join(F.broadcast(alloc), "stratum").where("i <= allocated").select("doc_id", "stratum")
+    return chosen.withColumn("i", F.row_number().over(w)).where("i <= allocated").select("doc_id", "stratum")
 
 
-def evidence_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def evidence_spans(docs: DataFrame, spans: DataFrame, broadcast_tokens: int = 1_000_000) -> DataFrame:
     """Documents that hold a span (item_id, text) as a run of whole tokens, with a confidence.
 
-    The four tokens of a span that are in fewest documents, all of them, pick candidates by an
-    equi-join of ids only; texts join the candidates afterwards and containment of the token runs confirms them.
+    Only the spans' tokens of each document are kept, in its row, without a shuffle while the spans'
+    tokens are few enough to be sent to all executors. The four tokens of a span that are in fewest documents, all of them, pick candidates by an
+    equi-join of ids only; a text is read as a run only where its id is a candidate, and containment of the token runs confirms it.
     Confidence: 0.85 less 0.05 for each further match, at most 0.25 less.
     """
     run = lambda c: F.concat(F.lit(" "), F.array_join(tx.token_list(c), " "), F.lit(" "))
     each = lambda c: F.explode(F.array_distinct(tx.token_list(c))).alias("token")
     tokens = spans.where("text IS NOT NULL").select("item_id", each(F.col("text")))
-    wanted = docs.where("text IS NOT NULL").select("doc_id", each(F.col("text"))).join(tokens.select("token").distinct(), "token", "left_semi")
+    known = tokens.select("token").distinct()
+    small = known.limit(broadcast_tokens + 1).count() <= broadcast_tokens
+    wanted = docs.where("text IS NOT NULL").select("doc_id", each(F.col("text"))).join(F.broadcast(known) if small else known, "token", "left_semi")
     df = wanted.groupBy("token").agg(F.count("*").alias("df"))
     rarest = F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, 4)
     rare = tokens.join(df, "token").groupBy("item_id").agg(rarest.alias("r")).select("item_id", F.size("r").alias("need"), F.explode("r.token").alias("token"))
     cand = wanted.join(rare, "token").groupBy("doc_id", "item_id", "need").agg(F.count("*").alias("got")).where("got = need").select("doc_id", "item_id")
-    hit = cand.join(docs.select("doc_id", run(F.col("text")).alias("doc_run")), "doc_id").join(spans.select("item_id", run(F.col("text")).alias("span_run")), "item_id").where(F.contains("doc_run", "span_run")).select("item_id", "doc_id")
+    runs = docs.where("text IS NOT NULL").join(cand.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", run(F.col("text")).alias("doc_run"))
+    hit = cand.join(runs, "doc_id").join(spans.select("item_id", run(F.col("text")).alias("span_run")), "item_id").where(F.contains("doc_run", "span_run")).select("item_id", "doc_id")
     n = hit.groupBy("item_id").agg(F.count("*").alias("n"))
     return hit.join(n, "item_id").select("item_id", "doc_id", F.round(0.85 - F.least(F.lit(0.25), 0.05 * (F.col("n") - 1)), 2).alias("confidence"))
 

@@ -148,10 +148,11 @@ def bucket_totals(cases: DataFrame, by: tuple[str, ...] = ("category", "locale",
 def hint_conflicts(bases: DataFrame) -> DataFrame:
     """Pairs of hints of different knowledge bases (pos, name, hints) of which one holds the other, each pair once.
 
-    Hints that hold one another share a token or are parts of one; pairs are made by the tokens' leading three characters.
+    Pairs are made by the first three characters of a hint (or all of a shorter one), which the other holds at some place.
     """
     h = bases.select("pos", "name", F.explode("hints").alias("hint")).select("*", F.lower(F.trim("hint")).alias("k")).where("k <> ''")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("k") - 2)), lambda i: F.substring("k", i, F.lit(3))))
+    at = F.sequence(F.lit(1), F.length("k"))
+    grams = F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(at, lambda i: F.substring("k", i, n)))))
     parts = h.withColumn("g", F.explode(grams))
     own = h.withColumn("g", F.substring("k", 1, 3))
     a, b = own.alias("a"), parts.alias("b")

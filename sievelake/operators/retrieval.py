@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 from sievelake.functions import text as tx
 
 
-def lexical_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def lexical_topk(docs: DataFrame, queries: DataFrame, k: int = 10, broadcast_terms: int = 1_000_000) -> DataFrame:
     """The ``k`` documents (doc_id, text) with most of each query's (query_id, question) tokens.
 
-    Both sides are exploded to tokens and joined on them, so nothing is a cross join; counts are
-    pre-aggregated map-side, and the window ranks only documents that share a token. Returns
-    query_id, doc_id, n_terms, similarity (share of the query's tokens, 6 digits), rank.
+    The queries' terms, each with the queries that have it, go to the executors while they are few
+    enough (else they are joined by a shuffle); documents keep only those terms. Scores are
+    combined map-side, and each part of the documents offers its own best ``k`` of a query before
+    the last ranking, so no query's candidates gather in one task. Returns query_id, doc_id,
+    n_terms, similarity (share of the query's tokens, 6 digits), rank.
     """
-    q = queries.select("query_id", tx.evidence_tokens(F.col("question")).alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    q = queries.select("query_id", tx.evidence_tokens(F.col("question")).alias("terms")).select("query_id", F.size("terms").cast("long").alias("n_terms"), F.explode("terms").alias("term"))
+    of = q.groupBy("term").agg(F.collect_list(F.struct("query_id", "n_terms")).alias("of"))
+    small = of.agg(F.sum(F.size("of"))).first()[0] or 0
     d = docs.select("doc_id", F.explode(tx.evidence_tokens(F.col("text"))).alias("term"))
-    hits = d.join(q, "term").groupBy("query_id", "doc_id", "n_terms").agg(F.count("*").alias("n"))
-    scored = hits.select("query_id", "doc_id", F.col("n_terms").cast("long").alias("n_terms"), F.round(F.col("n") / F.col("n_terms"), 6).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    hits = d.join(F.broadcast(of) if small <= broadcast_terms else of, "term").select("doc_id", F.explode("of").alias("q"))
+    hits = hits.groupBy("doc_id", "q.query_id", "q.n_terms").agg(F.count("*").alias("n"))
+    scored = hits.select("query_id", "doc_id", "n_terms", F.round(F.col("n") / F.col("n_terms"), 6).alias("similarity"))
+    order = [F.desc("similarity"), "doc_id"]
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(64))
+    offered = scored.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k)
+    return offered.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")).where(F.col("rank") <= k).drop("part", "r")
 
 
 def cosine_topk(vectors: DataFrame, centroids: DataFrame, k: int = 3) -> DataFrame:

@@ -6,18 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latency_summary(events: DataFrame, by: str = "event_type", value: str = "value") -> DataFrame:
+def latency_summary(events: DataFrame, by: str = "event_type", value: str = "value", parts: int = 256) -> DataFrame:
     """min, max, average and nearest-rank p50, p95, p99 of finite samples from 0 up, 3 digits.
 
-    Exact ranks come from counts per distinct value, which combine map-side: a hot group costs
-    its distinct values, not its rows.
+    Exact ranks without a group in one task: values are counted once each (combined map-side), the
+    counts of each group are summed by buckets of even width between its bounds, and of each rank
+    only the bucket that holds it is looked at value by value.
     """
     ok = F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) >= 0) & (F.col(value) < float("inf"))
-    c = events.where(ok).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    run = Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    r = c.withColumn("upto", F.sum("c").over(run)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
-    pct = lambda p: F.round(F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("n") / 100), F.col("v"))), 3).alias(f"p{p}")
-    return r.groupBy(by).agg(F.sum("c").alias("sample_count"), F.round(F.min("v"), 3).alias("minimum"), F.round(F.max("v"), 3).alias("maximum"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 3).alias("average"), pct(50), pct(95), pct(99))
+    c = events.where(ok).groupBy(F.col(by).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    bounds = c.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("s"))
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(parts - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts))).otherwise(0).cast("int").alias("b")
+    same = F.col("c.k").eqNullSafe(F.col("g.k"))
+    placed = c.alias("c").join(bounds.alias("g"), same).select("c.k", "v", "c", "lo", "hi", "n", "s", place)
+    buckets = placed.groupBy("k", "b").agg(F.sum("c").alias("in_b"), F.first("n").alias("n"))
+    upto = buckets.withColumn("before", F.sum("in_b").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_b"))
+    ranks = upto.select("k", "b", "before", "in_b", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.ceil(F.lit(p) * F.col("n") / 100).alias("r")) for p in (50, 95, 99)))).alias("q"))
+    wanted = ranks.where("q.r > before AND q.r <= before + in_b").select("k", "b", "before", "q.p", "q.r")
+    own = placed.alias("x").join(wanted.alias("w"), F.col("x.k").eqNullSafe(F.col("w.k")) & (F.col("x.b") == F.col("w.b"))).select("x.k", "v", "c", "before", "p", "r")
+    run = own.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("k", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    at = run.where("upto >= r").groupBy("k").agg(*(F.round(F.min(F.when(F.col("p") == p, F.col("v"))), 3).alias(f"p{p}") for p in (50, 95, 99)))
+    out = bounds.alias("g").join(at.alias("a"), F.col("g.k").eqNullSafe(F.col("a.k")))
+    return out.select(F.col("g.k").alias(by), F.col("n").alias("sample_count"), F.round("lo", 3).alias("minimum"), F.round("hi", 3).alias("maximum"), F.round(F.col("s") / F.col("n"), 3).alias("average"), "p50", "p95", "p99")
 
 
 def stage_summary(events: DataFrame) -> DataFrame:
@@ -25,10 +35,15 @@ def stage_summary(events: DataFrame) -> DataFrame:
     return events.rollup("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")).select(F.coalesce("event_type", F.lit("all")).alias("stage"), "n", "total")
 
 
-def outcome(items: DataFrame, key: str, status: str, success: list[str], warning: list[str], failure: list[str], skipped: list[str]) -> DataFrame:
-    """Outcome of each key from the statuses of its items; the first fitting of eight."""
-    n = {k: F.count_if(F.coalesce(status, F.lit("unknown")).isin(v)).alias(k) for k, v in {"ok": success, "warned": warning, "failed": failure, "skipped": skipped}.items()}
-    c = items.groupBy(key).agg(F.count("*").alias("n"), *n.values()).withColumn("unknown", F.expr("n - ok - warned - failed - skipped"))
-    s = (F.when(F.expr("ok > 0 AND failed + skipped > 0"), "partial").when(F.col("failed") > 0, "failed").when(F.expr("skipped = n"), "skipped")
+def outcome(items: DataFrame, key: str, status: str, success: list[str], warning: list[str], failure: list[str], skipped: list[str], timeout: list[str] | None = None) -> DataFrame:
+    """Outcome of each key from the statuses of its items; the first fitting of eight, 'empty' being that of no items at all.
+
+    A success beside a failed, skipped or timed-out item is partial.
+    """
+    kinds = {"ok": success, "warned": warning, "failed": failure, "skipped": skipped, "late": timeout or []}
+    n = {k: F.count_if(F.coalesce(status, F.lit("unknown")).isin(v)).alias(k) for k, v in kinds.items()}
+    known = F.count_if(F.coalesce(status, F.lit("unknown")).isin([*success, *warning, *failure, *skipped])).alias("known")
+    c = items.groupBy(key).agg(F.count("*").alias("n"), known, *n.values()).withColumn("unknown", F.expr("n - known"))
+    s = (F.when(F.expr("n = 0"), "empty").when(F.expr("ok > 0 AND failed + skipped + late > 0"), "partial").when(F.col("failed") > 0, "failed").when(F.expr("skipped = n"), "skipped")
          .when(F.col("skipped") > 0, "incomplete").when(F.col("unknown") > 0, "unknown").when(F.col("warned") > 0, "completed_with_warnings").otherwise("completed"))
     return c.select(key, "n", s.alias("outcome"))
