@@ -328,6 +328,7 @@ def events_session(s, d):
 
 # Modules with more queries; they stand on this one.
 from sievelake.plans import documents as _documents  # noqa: E402, F401
+from sievelake.plans import extras as _extras  # noqa: E402, F401
 from sievelake.plans import governance as _governance  # noqa: E402, F401
 from sievelake.plans import judging as _judging  # noqa: E402, F401
 from sievelake.plans import scalars as _scalars  # noqa: E402, F401
