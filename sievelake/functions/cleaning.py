@@ -50,6 +50,13 @@ PROTECTED = {"heading": FENCE, "cjk": TABLE, "punctuation": TABLE, "ligature": T
 _MARK, _CUT = "\u0001", "\u0001b"
 
 
+def _may_have(text: Column, pattern: str) -> Column:
+    """Whether a text has what every match of the pattern has; most texts have not, and are not cut."""
+    if pattern == FENCE:
+        return F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~"))
+    return F.contains(text, F.lit("|")) | text.rlike("<[tT]") if pattern == TABLE else F.lit(True)
+
+
 def pieces(text: Column, pattern: str) -> Column:
     """The text cut at the matches of a pattern: free, match, free, ...; the mark that cuts is escaped in the text."""
     marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(_MARK + "a")), pattern, f"{_CUT}$0{_CUT}")
@@ -60,12 +67,22 @@ def outside(text: Column, pattern: str | None, f: Callable[[Column], Column]) ->
     """``f`` of each part outside the matches of a pattern, the matches as they are."""
     if pattern is None:
         return f(text)
-    return F.array_join(F.transform(pieces(text, pattern), lambda x, i: F.when(i % 2 == 1, x).otherwise(f(x))), "")
+
+    def cut(t: Column) -> Column:
+        parts = F.transform(pieces(t, pattern), lambda x, i: F.when(i % 2 == 1, x).otherwise(f(x)))
+        return F.when(_may_have(t, pattern), F.array_join(parts, "")).otherwise(f(t))
+
+    return tx.let(text, cut)
 
 
 def inside(text: Column, pattern: str, f: Callable[[Column], Column]) -> Column:
     """``f`` of each match of a pattern, the rest as it is."""
-    return F.array_join(F.transform(pieces(text, pattern), lambda x, i: F.when(i % 2 == 1, f(x)).otherwise(x)), "")
+
+    def cut(t: Column) -> Column:
+        parts = F.array_join(F.transform(pieces(t, pattern), lambda x, i: F.when(i % 2 == 1, f(x)).otherwise(x)), "")
+        return F.when(F.contains(t, F.lit("![")), parts).otherwise(t) if pattern == IMAGE else parts
+
+    return tx.let(text, cut)
 
 
 def image_target(image: Column) -> Column:
@@ -96,7 +113,7 @@ def _replaced(rule: str) -> Callable[[Column], Column]:
 def clean(text: Column, rule: str) -> Column:
     """``text`` after one rule."""
     if rule == "final_newline":
-        return F.when((text == "") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
+        return tx.let(text, lambda t: F.when((t == "") | t.endswith("\n"), t).otherwise(F.concat(t, F.lit("\n"))))
     if rule == "images":
         return inside(text, IMAGE, image_target)
     return outside(text, PROTECTED.get(rule), _replaced(rule))
@@ -108,7 +125,8 @@ def change_count(text: Column, rule: str) -> Column:
         return F.when((text == "") | text.endswith("\n"), 0).otherwise(1).cast("long")
     if rule == "images":
         changed = F.transform(pieces(text, IMAGE), lambda x, i: ((i % 2 == 1) & (image_target(x) != x)).cast("long"))
-        return F.aggregate(changed, F.lit(0).cast("long"), lambda s, x: s + x)
+        cut = F.aggregate(changed, F.lit(0).cast("long"), lambda s, x: s + x)
+        return F.when(F.contains(text, F.lit("![")), cut).otherwise(F.lit(0).cast("long"))
 
     def matches(part: Column) -> Column:
         total = F.lit(0)
@@ -119,8 +137,12 @@ def change_count(text: Column, rule: str) -> Column:
 
     if rule not in PROTECTED:
         return matches(text)
-    found = F.transform(pieces(text, PROTECTED[rule]), lambda x, i: F.when(i % 2 == 1, F.lit(0).cast("long")).otherwise(matches(x)))
-    return F.aggregate(found, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def cut(t: Column) -> Column:
+        found = F.transform(pieces(t, PROTECTED[rule]), lambda x, i: F.when(i % 2 == 1, F.lit(0).cast("long")).otherwise(matches(x)))
+        return F.when(_may_have(t, PROTECTED[rule]), F.aggregate(found, F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(matches(t))
+
+    return tx.let(text, cut)
 
 
 def clean_all(text: Column, rules: list[str]) -> Column:

@@ -8,6 +8,7 @@ relevance. All joins are on query_id; the match of a target is checked inside th
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,8 +105,13 @@ def _documents(top: DataFrame, rel: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def judge(hits: DataFrame, qrels: DataFrame, cases: DataFrame, k: int = 10) -> DataFrame:
-    """All metrics of each query that has a positive judgment; those that a query does not define are null."""
-    rel = _prepared(qrels)
+    """All metrics of each query that has a positive judgment; those that a query does not define are null.
+
+    The hits up to the cutoff (``k`` rows a query) and the judgments are read by several joins, so
+    the session's cache keeps them, on disk where memory is short; lost parts are made again.
+    """
+    rel = _prepared(qrels).persist(StorageLevel.MEMORY_AND_DISK)
+    hits = hits.persist(StorageLevel.MEMORY_AND_DISK)
     top = hits.where(F.col("rank") <= k)
     own = rel.groupBy("query_id").agg(F.max(F.col("field").isin(DOCUMENT_FIELDS)).alias("on_documents"))
     kind = lb.hit_modality(F.col("modality"), F.col("document_name"), F.col("content"))
