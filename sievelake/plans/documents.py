@@ -124,8 +124,11 @@ _BAL = lambda c: f"len(regexp_extract_all({c}, '(?i)<table\\b')) = len(regexp_ex
 
 
 @query(f"""WITH {_D}, l AS (SELECT id, t, {_LINES} AS r, {_HTML} AS h FROM d)
-SELECT id, len(list_filter(r, lambda x, i: contains(x, '|') AND coalesce(regexp_matches(r[i + 1], '{md.SEPARATOR}'), false)))::BIGINT AS pipe_tables, array_to_string(list_transform(h, lambda x: sha256(regexp_replace(x, '\\r\\n?', chr(10), 'g'))), ',') AS html_tables, {_BAL('t')} AS balanced,
-{sql_count('t', md.MARKER)} AS markers, coalesce(list_sum(list_transform(h, lambda x: len(regexp_extract_all(x, '{md.MARKER}')))), 0)::BIGINT AS markers_in_tables, len(list_filter(string_split(regexp_replace(t, '{md.MARKER}', chr(2), 'g'), chr(2)), lambda x: NOT ({_BAL('x')}))) AS unbalanced_fragments,
+SELECT id, len(list_filter(r, lambda x, i: contains(x, '|') AND
+  coalesce(regexp_matches(r[i + 1], '{md.SEPARATOR}'), false)))::BIGINT AS pipe_tables, array_to_string(list_transform(h, lambda x: sha256(regexp_replace(x, '\\r\\n?', chr(10), 'g'))), ',') AS html_tables, {_BAL('t')} AS balanced,
+{sql_count('t', md.MARKER)} AS markers, coalesce(list_sum(list_transform(h, lambda x:
+  len(regexp_extract_all(x, '{md.MARKER}')))), 0)::BIGINT AS markers_in_tables,
+  len(list_filter(string_split(regexp_replace(t, '{md.MARKER}', chr(2), 'g'), chr(2)), lambda x: NOT ({_BAL('x')}))) AS unbalanced_fragments,
 (len(regexp_extract_all(t, '\\$')) - len(regexp_extract_all(t, '\\\\\\$'))) % 2 = 1 OR len(regexp_extract_all(t, '\\\\\\(')) <> len(regexp_extract_all(t, '\\\\\\)')) OR len(regexp_extract_all(t, '\\\\\\[')) <> len(regexp_extract_all(t, '\\\\\\]')) AS math_unbalanced FROM l""")
 def markdown_structure(s, d):
     t = F.col("t")
@@ -148,11 +151,15 @@ _SOFT, _HARD, _LEAST = 600, 900, 150
 
 
 @query(f"""WITH RECURSIVE {_D}, l AS MATERIALIZED (SELECT id, i - 1 AS i, n, length(x) + CASE WHEN i < n OR suffix(t, chr(10)) THEN 1 ELSE 0 END AS size, regexp_matches(x, '{md.BOUNDARY}') AS edge
-  FROM (SELECT id, t, r[i] AS x, i, len(r) AS n FROM (SELECT id, t, r, unnest(range(1, len(r) + 1)) AS i FROM (SELECT id, replace(t, '. ', '.' || chr(10) || '# ') AS t, string_split(regexp_replace(regexp_replace(replace(t, '. ', '.' || chr(10) || '# '), '\\r\\n?', chr(10), 'g'), '\\n\\z', ''), chr(10)) AS r FROM d)))),
+  FROM (SELECT id, t, r[i] AS x, i, len(r) AS n FROM (SELECT id, t, r, unnest(range(1, len(r) + 1)) AS i
+    FROM (SELECT id, replace(t, '. ', '.' || chr(10) || '# ') AS t, string_split(regexp_replace(regexp_replace(replace(t, '. ', '.' || chr(10) || '# '), '\\r\\n?', chr(10), 'g'), '\\n\\z', ''), chr(10)) AS r
+    FROM d)))),
 w AS (SELECT id, 0::BIGINT AS i, 0::BIGINT AS total, 0::BIGINT AS start, 0::BIGINT AS at_start, -1::BIGINT AS cut, 0::BIGINT AS at_cut FROM d
-  UNION ALL SELECT id, i + 1, total, coalesce(b, start), CASE WHEN b IS NULL THEN at_start WHEN cut2 >= 0 THEN at_cut2 ELSE total END, CASE WHEN b IS NULL THEN cut2 ELSE -1 END, at_cut2
+  UNION ALL SELECT id, i + 1, total, coalesce(b, start), CASE WHEN b IS NULL THEN at_start WHEN cut2 >= 0 THEN at_cut2 ELSE total END, CASE
+    WHEN b IS NULL THEN cut2 ELSE -1 END, at_cut2
   FROM (SELECT *, CASE WHEN total - at_start >= {_SOFT} AND cut2 >= 0 THEN cut2 WHEN total - at_start >= {_HARD} THEN i + 1 END AS b FROM (
-    SELECT w.id, w.i, w.total + l.size AS total, start, at_start, CASE WHEN edge AND w.i > start AND w.total - at_start >= {_LEAST} THEN w.i ELSE cut END AS cut2, CASE WHEN edge AND w.i > start AND w.total - at_start >= {_LEAST} THEN w.total ELSE at_cut END AS at_cut2
+    SELECT w.id, w.i, w.total + l.size AS total, start, at_start, CASE WHEN edge AND w.i > start AND w.total - at_start >= {_LEAST} THEN w.i
+      ELSE cut END AS cut2, CASE WHEN edge AND w.i > start AND w.total - at_start >= {_LEAST} THEN w.total ELSE at_cut END AS at_cut2
     FROM w JOIN l ON l.id = w.id AND l.i = w.i))),
 g AS (SELECT DISTINCT id, start FROM w WHERE start = 0 OR start < (SELECT max(n) FROM l WHERE l.id = w.id))
 SELECT id, count(*) AS n_segments, string_agg(start::VARCHAR, ',' ORDER BY start) AS starts FROM g GROUP BY id""")

@@ -20,9 +20,14 @@ _NETS = lambda *n: "(" + " OR ".join(f"ip BETWEEN {a * 16777216 + b * 65536 + c
 
 
 @query(f"""WITH {values("w", "id long, url string", _URLS)}, p AS (SELECT id, lower(regexp_extract(url, '{_URL}', 1)) AS scheme, lower(regexp_extract(url, '{_URL}', 2)) AS h, regexp_extract(url, '{_URL}', 3) AS port, regexp_extract(url, '{_URL}', 4) AS path, regexp_extract(url, '{_URL}', 5) AS q FROM w),
-n AS (SELECT *, CASE WHEN regexp_matches(h, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') AND list_max(list_transform(string_split(h, '.'), lambda x: TRY_CAST(x AS INT))) <= 255 THEN {_IP('h')} END AS ip FROM p)
-SELECT id, scheme, CASE WHEN h = '' THEN 'unknown' WHEN h = 'localhost' THEN 'local' WHEN {_NETS((127, 0, 0, 1 << 24))} THEN 'local' WHEN {_NETS((10, 0, 0, 1 << 24), (172, 16, 0, 1 << 20), (192, 168, 0, 1 << 16), (169, 254, 0, 1 << 16))} THEN 'lan' WHEN {_NETS((100, 64, 0, 1 << 22))} THEN 'vpn'
-WHEN {_NETS((0, 0, 0, 1 << 24), (192, 0, 0, 256), (192, 0, 2, 256), (198, 18, 0, 1 << 17), (198, 51, 100, 256), (203, 0, 113, 256), (240, 0, 0, 1 << 28))} THEN 'private' WHEN ip IS NOT NULL THEN 'public' WHEN regexp_matches(h, '\\.(local|lan)$') THEN 'lan' WHEN NOT contains(h, '.') THEN 'hostname' ELSE 'public' END AS host_class,
+n AS (SELECT *, CASE WHEN regexp_matches(h, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$')
+  AND list_max(list_transform(string_split(h, '.'), lambda x: TRY_CAST(x AS INT))) <= 255 THEN {_IP('h')} END AS ip FROM p)
+SELECT id, scheme, CASE WHEN h = '' THEN 'unknown' WHEN h = 'localhost' THEN 'local' WHEN {_NETS((127, 0, 0, 1 << 24))} THEN 'local'
+  WHEN {_NETS((10, 0, 0, 1 << 24), (172, 16, 0, 1 << 20), (192, 168, 0, 1 << 16), (169, 254, 0, 1 << 16))} THEN 'lan'
+  WHEN {_NETS((100, 64, 0, 1 << 22))} THEN 'vpn'
+WHEN {_NETS((0, 0, 0, 1 << 24), (192, 0, 0, 256), (192, 0, 2, 256), (198, 18, 0, 1 << 17), (198, 51, 100, 256), (203, 0, 113, 256), (240, 0, 0, 1 << 28))} THEN 'private'
+  WHEN ip IS NOT NULL THEN 'public' WHEN regexp_matches(h, '\\.(local|lan)$') THEN 'lan' WHEN NOT contains(h, '.') THEN 'hostname'
+  ELSE 'public' END AS host_class,
 TRY_CAST(nullif(port, '') AS INT) AS port, path NOT IN ('', '/') AS has_path, q <> '' AS has_query FROM n""")
 def endpoints(s, d):
     return s.createDataFrame(_URLS, "id long, url string").select("id", rc.endpoint(F.col("url")).alias("e")).select("id", "e.*")
@@ -90,7 +95,9 @@ def embedding_models(s, d):
 
 _LINED = """replace(replace(coalesce(text, ''), '. ', '.' || chr(10)), ', ', chr(10) || '# ')"""
 _LN = f"""s0 AS (SELECT doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT -1, 'page 3' || chr(10) || 'a 1.5 b 20%' || chr(10) || '## H x' || chr(10) || '<!-- page: 7 -->' || chr(10) || 'c 3,000' || chr(10) || '# I'),
-s1 AS (SELECT doc_id, string_split(regexp_replace({_LINED}, '\\n\\z', ''), chr(10)) AS r FROM s0), ln AS MATERIALIZED (SELECT doc_id, i AS line, t AS text, last_value(coalesce(nullif(regexp_extract(t, '{se.PAGE_COMMENT}', 1), ''), nullif(regexp_extract(t, '{se.PAGE_TEXT}', 1), ''))::BIGINT IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS page
+s1 AS (SELECT doc_id, string_split(regexp_replace({_LINED}, '\\n\\z', ''), chr(10)) AS r
+  FROM s0), ln AS MATERIALIZED (SELECT doc_id, i AS line, t AS text, last_value(coalesce(nullif(regexp_extract(t, '{se.PAGE_COMMENT}', 1), ''), nullif(regexp_extract(t, '{se.PAGE_TEXT}', 1), ''))::BIGINT IGNORE NULLS) OVER (PARTITION BY doc_id
+  ORDER BY i) AS page
 FROM (SELECT doc_id, unnest(r) AS t, unnest(range(1, len(r) + 1)) AS i FROM s1))"""
 
 
@@ -115,7 +122,8 @@ def numeric_candidates(s, d):
 
 
 @query(f"""WITH {dc._D}, r AS (SELECT id, unnest(x) AS t, unnest(range(1, len(x) + 1)) AS i FROM (SELECT id, {dc._LINES} AS x FROM d)), m AS (SELECT id, regexp_matches(t, '(?i)^\\s*<!--\\s*chunk\\s*-->\\s*$') AS m, lead(regexp_matches(t, '(?i)^\\s*<!--\\s*chunk\\s*-->\\s*$')) OVER (PARTITION BY id ORDER BY i) AS nx FROM r WHERE trim(t) <> ''),
-c AS (SELECT id, count(*) FILTER (m) AS markers, count(*) AS n, count(*) FILTER (m AND coalesce(nx, false)) AS consecutive, count(*) FILTER (m AND coalesce(nx, true)) AS empty_sections FROM m GROUP BY 1)
+c AS (SELECT id, count(*) FILTER (m) AS markers, count(*) AS n, count(*) FILTER (m AND coalesce(nx, false)) AS consecutive, count(*) FILTER (m AND
+  coalesce(nx, true)) AS empty_sections FROM m GROUP BY 1)
 SELECT id AS doc_id, markers, round(markers / n, 4) AS density, markers = 0 AND n >= 12 AS sparse, round(markers / n, 4) > 0.3 AS dense, consecutive, empty_sections FROM c""")
 def marker_density(s, d):
     return se.marker_warnings(dc._docs(s, d).select(F.col("id").alias("doc_id"), F.col("t").alias("text")))
@@ -125,8 +133,10 @@ _SPLIT = "CASE WHEN length(x) <= 120 THEN [x] ELSE list_transform(list_filter(st
 
 
 @query(f"""WITH x AS (SELECT doc_id AS pos, coalesce(source, 'none') AS source, regexp_replace(replace(coalesce(text, ''), ', ', chr(10) || '# '), '\\r\\n?', chr(10), 'g') AS t FROM documents),
-l AS (SELECT pos, source, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^[#!]') AND NOT regexp_matches(x, '^[-*_=\\s]{{3,}}$') AND NOT regexp_matches(x, '^\\|?[\\s:|.-]+\\|?$')) AS r FROM x),
-p AS (SELECT pos, source, flatten(list_transform(r, lambda x: {_SPLIT})) AS v FROM l), u AS (SELECT pos, source, unnest(v) AS span, unnest(range(1, len(v) + 1)) AS i FROM p),
+l AS (SELECT pos, source, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''
+  AND NOT regexp_matches(x, '^[#!]') AND NOT regexp_matches(x, '^[-*_=\\s]{{3,}}$') AND NOT regexp_matches(x, '^\\|?[\\s:|.-]+\\|?$')) AS r FROM x),
+p AS (SELECT pos, source, flatten(list_transform(r, lambda x: {_SPLIT})) AS v FROM l), u AS (SELECT pos, source, unnest(v) AS span, unnest(range(1,
+  len(v) + 1)) AS i FROM p),
 f AS (SELECT source, lower(span) AS k, arg_min(span, {{'p': pos, 'i': i}}) AS span, min(pos) AS pos FROM u WHERE length(span) >= 20 GROUP BY ALL)
 SELECT source, pos, span, CASE WHEN len(regexp_extract_all(span, '[A-Za-z][A-Za-z0-9_-]{{2,}}|[\\x{{4E00}}-\\x{{9FFF}}]{{2,}}')) > 0 THEN array_to_string(regexp_extract_all(span, '[A-Za-z][A-Za-z0-9_-]{{2,}}|[\\x{{4E00}}-\\x{{9FFF}}]{{2,}}')[1:5], ' ')[1:80] ELSE 'the cited evidence' END AS topic FROM f""")
 def qa_candidates(s, d):
@@ -178,7 +188,8 @@ def name_collisions(s, d):
 
 
 @query("""WITH c AS (SELECT item_id, 't' || item_id % 3 AS ty, item_id % 2 AS nc, item_id % 5 AS nt, item_id % 4 AS nq, item_id % 10 = 0 AS ng, item_id % 7 AS dd FROM benchmark)
-SELECT count(*) AS queries, round(avg((nc > 0)::INT), 4) AS chunk_coverage, round(avg((nt > 0)::INT), 4) AS term_coverage, count(DISTINCT ty) AS types, count(DISTINCT dd) AS documents,
+SELECT count(*) AS queries, round(avg((nc > 0)::INT), 4) AS chunk_coverage, round(avg((nt > 0)::INT), 4) AS term_coverage,
+  count(DISTINCT ty) AS types, count(DISTINCT dd) AS documents,
 round(avg((nc > 0)::INT) * 0.4 + avg((nt > 0)::INT) * 0.2 + least(count(DISTINCT dd), 3) / 3 * 0.15 + least(count(DISTINCT ty), 4) / 4 * 0.1 + count(*) FILTER (nq > 0) / count(*) * 0.1 + avg(ng::INT) * 0.05, 4) AS score FROM c""")
 def benchmark_strength(s, d):
     i = F.col("item_id")

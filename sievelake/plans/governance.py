@@ -21,7 +21,9 @@ _FAIL = f"s IN ({sql_list(st.FAILED)[1:-1]}) OR coalesce(TRY_CAST(progress AS DO
 
 
 @query(f"""WITH {values("r", _STATE, _STATES)}, e AS (SELECT *, {_EFF} AS s FROM r)
-SELECT id, s AS state, {_FAIL} AS failed, s IN ({sql_list(st.SUCCEEDED)[1:-1]}) AND NOT ({_FAIL}) AS succeeded, CASE WHEN starts_with(lower(coalesce(mime, '')), 'image/') OR regexp_matches(lower(coalesce(name, '')), '\\.(png|jpg|jpeg|gif|webp|bmp|tif|tiff)$') THEN 'image'
+SELECT id, s AS state, {_FAIL} AS failed, s IN ({sql_list(st.SUCCEEDED)[1:-1]}) AND NOT ({_FAIL}) AS succeeded, CASE
+  WHEN starts_with(lower(coalesce(mime, '')), 'image/')
+  OR regexp_matches(lower(coalesce(name, '')), '\\.(png|jpg|jpeg|gif|webp|bmp|tif|tiff)$') THEN 'image'
 WHEN regexp_matches(lower(coalesce(name, '')), '\\.(md|markdown)$') OR lower(coalesce(mime, '')) IN ('text/markdown', 'text/x-markdown') THEN 'markdown' WHEN starts_with(lower(coalesce(mime, '')), 'text/') THEN 'text' ELSE 'other' END AS kind FROM e""")
 def document_states(s, d):
     r = s.createDataFrame(_STATES, _STATE)
@@ -32,8 +34,11 @@ def document_states(s, d):
 
 
 @query("""WITH m AS (SELECT doc_id::VARCHAR AS document_id, 'in/' || coalesce(source, 'none') || '/' || doc_id || '.md' AS path FROM documents),
-o AS (SELECT doc_id AS pos, CASE WHEN doc_id % 3 = 0 THEN (doc_id // 2)::VARCHAR ELSE '' END AS document_id, CASE doc_id % 4 WHEN 0 THEN 'in/' || coalesce(source, 'none') || '/' || (doc_id + 1) || '.md' WHEN 1 THEN (doc_id // 3) || '.md' ELSE '' END AS name, 's' || doc_id % 5 || '-' || doc_id AS state FROM documents),
-i AS (SELECT document_id, arg_max(state, pos) AS s FROM o WHERE document_id <> '' GROUP BY 1), k AS (SELECT key, arg_min(state, pos) AS s FROM (SELECT pos, state, unnest(list_distinct([name, regexp_extract(name, '([^/]*)$', 1)])) AS key FROM o) WHERE key <> '' GROUP BY 1)
+o AS (SELECT doc_id AS pos, CASE WHEN doc_id % 3 = 0 THEN (doc_id // 2)::VARCHAR ELSE '' END AS document_id, CASE doc_id % 4 WHEN 0 THEN 'in/' ||
+  coalesce(source, 'none') || '/' || (doc_id + 1) || '.md' WHEN 1 THEN (doc_id // 3) || '.md'
+  ELSE '' END AS name, 's' || doc_id % 5 || '-' || doc_id AS state FROM documents),
+i AS (SELECT document_id, arg_max(state, pos) AS s FROM o WHERE document_id <> '' GROUP BY 1), k AS (SELECT key, arg_min(state, pos) AS s
+  FROM (SELECT pos, state, unnest(list_distinct([name, regexp_extract(name, '([^/]*)$', 1)])) AS key FROM o) WHERE key <> '' GROUP BY 1)
 SELECT m.document_id, path, coalesce(i.s, p.s, b.s) AS state FROM m LEFT JOIN i USING (document_id) LEFT JOIN k p ON p.key = path LEFT JOIN k b ON b.key = regexp_extract(path, '([^/]*)$', 1)""")
 def join_status(s, d):
     docs = table(s, d, "documents")
@@ -46,7 +51,9 @@ def join_status(s, d):
 
 
 @query("""WITH e AS (SELECT event_id, value * 1000 AS ms, CASE event_id % 4 WHEN 0 THEN ' OCR' WHEN 1 THEN 'parse' WHEN 2 THEN 'other' END AS phase FROM events)
-SELECT event_id, CASE WHEN event_id % 4 = 0 AND ms >= 30000 THEN 'slow_image_vlm_processing' WHEN event_id % 4 = 1 AND ms >= 60000 THEN 'slow_parse_phase' END AS phase_warning, CASE WHEN event_id % 2 = 0 AND ms >= 30000 THEN 'slow_image_vlm_processing' WHEN event_id % 2 = 1 AND ms >= 60000 THEN 'slow_parse_phase' END AS stage_warning,
+SELECT event_id, CASE WHEN event_id % 4 = 0 AND ms >= 30000 THEN 'slow_image_vlm_processing' WHEN event_id % 4 = 1
+  AND ms >= 60000 THEN 'slow_parse_phase' END AS phase_warning, CASE WHEN event_id % 2 = 0 AND ms >= 30000 THEN 'slow_image_vlm_processing'
+  WHEN event_id % 2 = 1 AND ms >= 60000 THEN 'slow_parse_phase' END AS stage_warning,
 coalesce(CASE WHEN event_id % 5 = 0 THEN event_id % 2 > 0 ELSE ms / (event_id % 5 * 20 * 1000) >= 0.8 END, false) AS near_timeout FROM e""")
 def performance_warnings(s, d):
     i, ms = F.col("event_id"), F.col("value") * 1000
@@ -105,8 +112,11 @@ def snapshot_summary(s, d):
 
 
 @query(f"""WITH {_SNAP}, y AS (SELECT pos, coalesce(document, '<unknown>') AS document, coalesce(content, '') AS t, regexp_matches(coalesce(content, ''), '{go.TABLE_HINT}') AS tb FROM c),
-l AS (SELECT pos, document, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: lower({sql_collapse('x')})), lambda x: regexp_matches(x, '\\||<t[hrd]'))[1:12], chr(10))[1:2000] AS g, lag(document) OVER (ORDER BY pos) AS before FROM y WHERE tb)
-SELECT count(*) AS chunks, count(*) FILTER (tb) AS table_like, count(*) FILTER (regexp_matches(t, '{go.IMAGE_HINT}') AND trim(regexp_replace(t, '{go.IMAGE_HINT}', '', 'g')) = '') AS image_only, count(*) FILTER (regexp_matches(t, '{go.DELIMITER}')) AS delimiter_visible, max(length(t)) AS max_chars,
+l AS (SELECT pos, document, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: lower({sql_collapse('x')})), lambda x: regexp_matches(x, '\\||<t[hrd]'))[1:12], chr(10))[1:2000] AS g, lag(document) OVER (ORDER BY pos) AS before
+  FROM y WHERE tb)
+SELECT count(*) AS chunks, count(*) FILTER (tb) AS table_like, count(*) FILTER (regexp_matches(t, '{go.IMAGE_HINT}')
+  AND trim(regexp_replace(t, '{go.IMAGE_HINT}', '', 'g')) = '') AS image_only,
+  count(*) FILTER (regexp_matches(t, '{go.DELIMITER}')) AS delimiter_visible, max(length(t)) AS max_chars,
 (SELECT count(*) FROM l WHERE before = document) AS split_tables, (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM l WHERE g <> '' GROUP BY g)) AS duplicate_tables, CASE WHEN count(*) FILTER (tb) > 0 THEN count(DISTINCT document) FILTER (NOT tb) ELSE 0 END AS documents_without_tables FROM y""")
 def snapshot_review(s, d):
     return go.snapshot_review(_chunks(s, d))
@@ -221,7 +231,8 @@ def hint_conflicts(s, d):
 
 _RT = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '{tx.TOKEN}'))"
 _ROUTED = f"""{_B}, q AS (SELECT item_id AS query_id, lower(text) AS q, {_RT('text')} AS t FROM benchmark), sc AS (SELECT query_id, name, list_sum(list_transform(list_filter(hints, lambda x: trim(x) <> ''), lambda h: CASE WHEN contains(q, lower(h)) THEN 10.0 ELSE len(list_intersect(t, {_RT('h')})) END::DOUBLE))
-  + CASE WHEN list_has_any(t, {_RT('name')}) THEN 0.5 ELSE 0 END + least(1.0, 0.25 * len(list_intersect(t, {_RT("array_to_string(hints, ' ')")}))) AS s FROM q, b0),
+  + CASE WHEN list_has_any(t, {_RT('name')}) THEN 0.5 ELSE 0 END + least(1.0, 0.25 *
+    len(list_intersect(t, {_RT("array_to_string(hints, ' ')")}))) AS s FROM q, b0),
 rt AS (SELECT query_id, max(s)::DOUBLE AS score, CASE WHEN max(s) > 0 THEN arg_max(name, {{'s': s, 'n': -ascii(name[3:3])}}) ELSE 'kb0' END AS selected, max(s) < 2 AS low_confidence FROM sc GROUP BY 1)"""
 
 
@@ -253,9 +264,13 @@ _TOKS = lambda c: sql_tokens(c, tx.EVIDENCE_STOPWORDS)
 
 
 @query(f"""WITH a AS (SELECT conv_id || '-' || turn AS answer_id, conv_id, coalesce(text, '') || CASE turn % 3 WHEN 0 THEN ' See [1] and [9].' WHEN 1 THEN ' So [0].' ELSE '' END AS t FROM conversations WHERE role = 'assistant'),
-e AS (SELECT conv_id, list_distinct(list(turn)) AS ranks, list_distinct(flatten(list({_TOKS("coalesce(text, '')")}))) AS terms FROM conversations WHERE role = 'user' GROUP BY 1),
-j AS (SELECT answer_id, list_transform(regexp_extract_all(t, '\\[(\\d+)\\]', 1), lambda x: x::BIGINT) AS cited, coalesce(ranks, []) AS ranks, len(list_filter({_SENT}, lambda x: NOT regexp_matches(x, '\\[\\d+\\]') AND len({_TOKS('x')}) > 0 AND NOT list_has_any({_TOKS('x')}, coalesce(terms, [])))) AS unsupported FROM a LEFT JOIN e USING (conv_id)),
-k AS (SELECT answer_id, len(cited) AS citations, len(list_distinct(list_intersect(cited, ranks))) AS cited_evidence, len(list_distinct(list_filter(cited, lambda x: NOT list_contains(ranks, x)))) AS invalid, unsupported, len(ranks) AS evidence FROM j)
+e AS (SELECT conv_id, list_distinct(list(turn)) AS ranks, list_distinct(flatten(list({_TOKS("coalesce(text, '')")}))) AS terms FROM conversations
+  WHERE role = 'user' GROUP BY 1),
+j AS (SELECT answer_id, list_transform(regexp_extract_all(t, '\\[(\\d+)\\]', 1), lambda x: x::BIGINT) AS cited, coalesce(ranks, []) AS ranks,
+  len(list_filter({_SENT}, lambda x: NOT regexp_matches(x, '\\[\\d+\\]') AND len({_TOKS('x')}) > 0 AND NOT list_has_any({_TOKS('x')},
+  coalesce(terms, [])))) AS unsupported FROM a LEFT JOIN e USING (conv_id)),
+k AS (SELECT answer_id, len(cited) AS citations, len(list_distinct(list_intersect(cited, ranks))) AS cited_evidence,
+  len(list_distinct(list_filter(cited, lambda x: NOT list_contains(ranks, x)))) AS invalid, unsupported, len(ranks) AS evidence FROM j)
 SELECT *, CASE WHEN invalid > 0 THEN 'FAIL' WHEN (evidence > 0 AND citations = 0) OR unsupported > 0 THEN 'REVIEW' ELSE 'PASS' END AS status FROM k""")
 def citation_audit(s, d):
     c = table(s, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
@@ -270,8 +285,12 @@ _POLL = lambda c: sql_tokens(c, tx.POLLUTION_STOPWORDS)
 
 
 @query(f"""WITH {rg._hits_sql('h')}, x AS (SELECT query_id, coalesce(source, 'none') AS document, {_POLL("array_to_string(string_split(b.text, ' ')[1:12], ' ')")} AS own, {_POLL("array_to_string(string_split(b.text, ' ')[13:], ' ')")} AS more0, {_POLL("coalesce(dd.text, '') || ' ' || coalesce(source, 'none')")} AS found FROM h JOIN benchmark b ON b.item_id = query_id JOIN documents dd USING (doc_id)),
-y AS (SELECT query_id, document, len(own) AS n, len(list_intersect(own, found)) AS o, list_intersect(list_filter(more0, lambda t: NOT list_contains(own, t)), found) AS e FROM x), m AS (SELECT query_id, max(k) AS most FROM (SELECT query_id, document, count(*) AS k FROM y GROUP BY ALL) GROUP BY 1),
-g AS (SELECT query_id, count(*) AS hits, count(*) FILTER (len(e) > 0 AND o = 0) AS expansion_only, count(*) FILTER (len(e) > 0 AND round(CASE WHEN n > 0 THEN o / n ELSE 0 END, 4) < 0.25) AS low_coverage, array_to_string(list_sort(list_distinct(flatten(list(e)))), ',') AS bridge_terms FROM y GROUP BY 1)
+y AS (SELECT query_id, document, len(own) AS n,
+  len(list_intersect(own, found)) AS o, list_intersect(list_filter(more0, lambda t: NOT list_contains(own, t)), found) AS e
+  FROM x), m AS (SELECT query_id, max(k) AS most FROM (SELECT query_id, document, count(*) AS k FROM y GROUP BY ALL) GROUP BY 1),
+g AS (SELECT query_id, count(*) AS hits, count(*) FILTER (len(e) > 0 AND o = 0) AS expansion_only, count(*) FILTER (len(e) > 0 AND round(CASE
+  WHEN n > 0 THEN o / n ELSE 0 END, 4) < 0.25) AS low_coverage, array_to_string(list_sort(list_distinct(flatten(list(e)))), ',') AS bridge_terms
+  FROM y GROUP BY 1)
 SELECT g.*, hits >= 3 AND most * 2 >= hits AS source_dominance, CASE WHEN expansion_only > 0 OR low_coverage > 0 THEN 'REVIEW' ELSE 'PASS' END AS status FROM g JOIN m USING (query_id)""")
 def query_pollution(s, d):
     docs = table(s, d, "documents")

@@ -62,45 +62,77 @@ _MODALITY = """CASE WHEN doc_id % 7 = 0 THEN 'table' WHEN regexp_matches(lower(d
 
 #: hits (hh), judgments (qr), cases (cs) and all metrics of a query (jm).
 _SETUP = f"""{rg._hits_sql('h')},
-hh AS MATERIALIZED (SELECT *, {_MODALITY} AS kind FROM (SELECT query_id, rank, doc_id, text AS content, coalesce(source, 'none') || CASE doc_id % 5 WHEN 0 THEN '.png' WHEN 1 THEN '' ELSE '.md' END AS document_name, 'doc-' || doc_id AS document_id,
-  doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 3 > 0 THEN [lower(coalesce(lang, 'none'))] ELSE [] END AS tags, list_concat([doc_id::VARCHAR], [sha256({sql_collapse("coalesce(text, '')")}), 'sha256:' || sha256({sql_collapse("coalesce(text, '')")})]) AS refs FROM h JOIN documents USING (doc_id))),
-qa AS (SELECT doc_id, text, source, {rg._RUN} AS r FROM documents WHERE text IS NOT NULL), qb AS (SELECT item_id AS query_id, {rg._RUN} AS q FROM benchmark WHERE text IS NOT NULL),
+hh AS MATERIALIZED (SELECT *, {_MODALITY} AS kind FROM (SELECT query_id, rank, doc_id, text AS content, coalesce(source, 'none') || CASE doc_id % 5
+  WHEN 0 THEN '.png' WHEN 1 THEN '' ELSE '.md' END AS document_name, 'doc-' || doc_id AS document_id,
+  doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 3 > 0 THEN [lower(coalesce(lang, 'none'))]
+    ELSE [] END AS tags, list_concat([doc_id::VARCHAR], [sha256({sql_collapse("coalesce(text, '')")}), 'sha256:' || sha256({sql_collapse("coalesce(text, '')")})]) AS refs
+    FROM h JOIN documents USING (doc_id))),
+qa AS (SELECT doc_id, text, source, {rg._RUN} AS r FROM documents WHERE text IS NOT NULL), qb AS (SELECT item_id AS query_id, {rg._RUN} AS q
+  FROM benchmark WHERE text IS NOT NULL),
 ev AS (SELECT query_id, doc_id, text, source FROM qa JOIN qb ON contains(r, q) WHERE q <> '  '),
-qr AS MATERIALIZED (SELECT query_id, 'document_id' AS field, 'doc-' || doc_id AS target, 1.0 + doc_id % 2 AS relevance, doc_id * 4 AS ord FROM ev WHERE query_id % 4 <> 3
+qr AS MATERIALIZED (SELECT query_id, 'document_id' AS field, 'doc-' || doc_id AS target, 1.0 + doc_id % 2 AS relevance, doc_id * 4 AS ord FROM ev
+  WHERE query_id % 4 <> 3
   UNION ALL SELECT query_id, 'expected_chunk', sha256({sql_collapse('text')}), 1.0, doc_id * 4 + 1 FROM ev WHERE query_id % 2 = 1
   UNION ALL SELECT query_id, 'document', coalesce(source, 'none'), 0.5, doc_id * 4 + 2 FROM ev WHERE query_id % 4 = 0),
-rl AS MATERIALIZED (SELECT *, lower(field || ':' || target) AS key, field = 'expected_chunk' AS chunky, field <> 'expected_chunk' OR max((field <> 'expected_chunk')::INT) OVER (PARTITION BY query_id) = 0 AS ranks FROM qr),
-cs AS MATERIALIZED (SELECT item_id AS query_id, 't' || item_id % 3 AS query_type, CASE item_id % 3 WHEN 0 THEN ['table'] WHEN 1 THEN ['image', 'mixed', 'table'] ELSE [] END AS expected_modalities,
-  CASE WHEN item_id % 2 = 0 THEN list_concat(w[1:2], [' zzz ']) WHEN item_id % 5 = 1 THEN [] ELSE w[1:2] END AS expected_terms, CASE WHEN item_id % 4 = 1 THEN ['web'] ELSE [] END AS expected_documents,
-  CASE WHEN item_id % 3 = 1 THEN ['en'] ELSE [] END AS expected_tags, CASE item_id % 3 WHEN 0 THEN [] WHEN 1 THEN ['de', 'en'] ELSE ['de'] END AS allowed_tags, CASE WHEN item_id % 7 = 0 THEN 11 ELSE 1 END AS min_chunks
+rl AS MATERIALIZED (SELECT *, lower(field || ':' || target) AS key, field = 'expected_chunk' AS chunky, field <> 'expected_chunk'
+  OR max((field <> 'expected_chunk')::INT) OVER (PARTITION BY query_id) = 0 AS ranks FROM qr),
+cs AS MATERIALIZED (SELECT item_id AS query_id, 't' || item_id % 3 AS query_type, CASE item_id % 3 WHEN 0 THEN ['table']
+  WHEN 1 THEN ['image', 'mixed', 'table'] ELSE [] END AS expected_modalities,
+  CASE WHEN item_id % 2 = 0 THEN list_concat(w[1:2], [' zzz ']) WHEN item_id % 5 = 1 THEN [] ELSE w[1:2] END AS expected_terms, CASE
+    WHEN item_id % 4 = 1 THEN ['web'] ELSE [] END AS expected_documents,
+  CASE WHEN item_id % 3 = 1 THEN ['en'] ELSE [] END AS expected_tags, CASE item_id % 3 WHEN 0 THEN [] WHEN 1 THEN ['de', 'en']
+    ELSE ['de'] END AS allowed_tags, CASE WHEN item_id % 7 = 0 THEN 11 ELSE 1 END AS min_chunks
   FROM (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '{tx.TOKEN}') AS w FROM benchmark))"""
 _MATCH = """CASE field WHEN 'document_id' THEN contains(document_id, lower(target)) WHEN 'expected_chunk' THEN list_has_any(refs, [target, 'sha256:' || target])
   ELSE contains(lower(document_name), lower(target)) OR contains(document_id, lower(target)) OR contains(chunk_id, lower(target)) END"""
 _JUDGED = f"""{_SETUP},
-pr AS (SELECT query_id, rank, arg_max(key, {{'r': relevance, 'o': -ord}}) AS key, any_value(kind) AS kind FROM hh JOIN rl USING (query_id) WHERE ranks AND {_MATCH} GROUP BY query_id, rank),
+pr AS (SELECT query_id, rank, arg_max(key, {{'r': relevance, 'o': -ord}}) AS key, any_value(kind) AS kind FROM hh JOIN rl USING (query_id) WHERE ranks
+  AND {_MATCH} GROUP BY query_id, rank),
 ky AS (SELECT query_id, key, max(relevance) AS rel FROM rl WHERE ranks GROUP BY ALL),
-idl AS (SELECT query_id, count(*) AS n_rel, sum((2 ** rel - 1) / log2(i + 1)) FILTER (i <= 10) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, key) AS i FROM ky) GROUP BY 1),
-fd AS (SELECT query_id, key, rank, rel, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM (SELECT query_id, key, min(rank) AS rank FROM pr GROUP BY ALL) JOIN ky USING (query_id, key)),
+idl AS (SELECT query_id, count(*) AS n_rel, sum((2 ** rel - 1) / log2(i + 1)) FILTER (i <= 10) AS ideal
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, key) AS i FROM ky) GROUP BY 1),
+fd AS (SELECT query_id, key, rank, rel, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM (SELECT query_id, key, min(rank) AS rank
+  FROM pr GROUP BY ALL) JOIN ky USING (query_id, key)),
 got AS (SELECT query_id, count(*) AS n, min(rank) AS first, sum((2 ** rel - 1) / log2(rank + 1)) AS dcg, sum(nth / rank) AS ap FROM fd GROUP BY 1),
 mm AS (SELECT query_id, count(DISTINCT key) FILTER (kind = 'image') AS mi, count(DISTINCT key) FILTER (kind = 'table') AS mt FROM pr GROUP BY 1),
 st AS (SELECT query_id, count(DISTINCT target) AS xn FROM rl WHERE chunky GROUP BY 1),
-sh AS (SELECT query_id, rank, arg_min(target, ord) AS t FROM hh JOIN rl USING (query_id) WHERE chunky AND list_has_any(refs, [target, 'sha256:' || target]) GROUP BY ALL),
+sh AS (SELECT query_id, rank, arg_min(target, ord) AS t FROM hh JOIN rl USING (query_id) WHERE chunky
+  AND list_has_any(refs, [target, 'sha256:' || target]) GROUP BY ALL),
 sg AS (SELECT query_id, count(DISTINCT t) AS xm, min(rank) AS xr FROM sh GROUP BY 1),
-wd AS (SELECT h0.query_id, count(*) AS dn, count(*) FILTER (NOT EXISTS (SELECT 1 FROM rl WHERE rl.query_id = h0.query_id AND NOT chunky AND (contains(h0.document_id, lower(target)) OR (field = 'document' AND contains(lower(h0.document_name), lower(target)))))
-  AND NOT EXISTS (SELECT 1 FROM cs WHERE cs.query_id = h0.query_id AND len(expected_documents) > 0 AND contains(lower(h0.document_name), 'web'))) AS dw FROM hh h0 GROUP BY 1),
-sw AS (SELECT query_id, {sql_collapse("string_agg(lower(coalesce(content, '') || chr(10) || document_name || chr(10) || document_id), ' ' ORDER BY rank)")} AS text, list(tags) FILTER (len(tags) > 0) AS tg, count(*) FILTER (kind = 'image') AS ni FROM hh GROUP BY 1),
-jx AS (SELECT cs.*, n_rel, coalesce(n, 0) AS n, first, dcg, ideal, coalesce(ap, 0) AS ap, coalesce(mi, 0) AS mi, coalesce(mt, 0) AS mt, xn, coalesce(xm, 0) AS xm, xr, coalesce(dn, 0) AS dn, coalesce(dw, 0) AS dw, coalesce(tg, []) AS tg, coalesce(ni, 0) AS ni, sw.query_id IS NULL AS nothing,
-  len(expected_terms) AS tn, len(list_filter(expected_terms, lambda t: contains(coalesce(sw.text, ''), trim(t)))) AS tm, len(expected_documents) > 0 OR EXISTS (SELECT 1 FROM rl WHERE rl.query_id = cs.query_id AND NOT chunky) AS scoped,
+wd AS (SELECT h0.query_id, count(*) AS dn, count(*) FILTER (NOT EXISTS (SELECT 1 FROM rl WHERE rl.query_id = h0.query_id AND NOT chunky
+  AND (contains(h0.document_id, lower(target)) OR (field = 'document' AND contains(lower(h0.document_name), lower(target)))))
+  AND NOT EXISTS (SELECT 1 FROM cs WHERE cs.query_id = h0.query_id AND len(expected_documents) > 0
+    AND contains(lower(h0.document_name), 'web'))) AS dw FROM hh h0 GROUP BY 1),
+sw AS (SELECT query_id, {sql_collapse("string_agg(lower(coalesce(content, '') || chr(10) || document_name || chr(10) || document_id), ' ' ORDER BY rank)")} AS text, list(tags) FILTER (len(tags) > 0) AS tg,
+  count(*) FILTER (kind = 'image') AS ni FROM hh GROUP BY 1),
+jx AS (SELECT cs.*, n_rel, coalesce(n, 0) AS n, first, dcg, ideal, coalesce(ap, 0) AS ap, coalesce(mi, 0) AS mi, coalesce(mt, 0) AS mt, xn,
+  coalesce(xm, 0) AS xm, xr, coalesce(dn, 0) AS dn, coalesce(dw, 0) AS dw, coalesce(tg, []) AS tg,
+  coalesce(ni, 0) AS ni, sw.query_id IS NULL AS nothing,
+  len(expected_terms) AS tn, len(list_filter(expected_terms, lambda t: contains(coalesce(sw.text, ''), trim(t)))) AS tm, len(expected_documents) > 0
+    OR EXISTS (SELECT 1 FROM rl WHERE rl.query_id = cs.query_id AND NOT chunky) AS scoped,
   list_distinct(flatten(coalesce(tg, []))) AS rt, len(list_filter(coalesce(tg, []), lambda t: NOT list_has_all(allowed_tags, t))) AS pn
   FROM cs JOIN idl USING (query_id) LEFT JOIN got USING (query_id) LEFT JOIN mm USING (query_id) LEFT JOIN st USING (query_id) LEFT JOIN sg USING (query_id) LEFT JOIN wd USING (query_id) LEFT JOIN sw USING (query_id)),
-jm AS MATERIALIZED (SELECT query_id, query_type, (n > 0)::DOUBLE AS hit_rate, round(coalesce(1 / first, 0), 6) AS mrr, round(n / 10, 6) AS precision_at_k, round(n / n_rel, 6) AS recall_at_k, round(coalesce(dcg / ideal, 0), 6) AS ndcg_at_k, round(ap / n_rel, 6) AS map_at_k,
-  nothing::INT::DOUBLE AS empty_result_rate, round(n / n_rel, 6) AS supporting_document_coverage, round(xm / xn, 6) AS strict_chunk_recall_at_k, CASE WHEN xn > 0 THEN (xm > 0)::INT::DOUBLE END AS expected_chunk_hit_rate, CASE WHEN xn > 0 THEN coalesce(xr, 11)::DOUBLE END AS expected_evidence_rank,
-  CASE WHEN tn > 0 THEN round(tm / tn, 6) END AS expected_term_recall_at_k, CASE WHEN tn > 0 THEN (tm = tn)::INT::DOUBLE END AS expected_term_hit_rate, CASE WHEN tn > 0 AND list_contains(expected_modalities, 'table') THEN round(tm / tn, 6) END AS table_term_recall_at_k,
-  CASE WHEN tn > 0 AND list_contains(expected_modalities, 'table') THEN (tm = tn)::INT::DOUBLE END AS table_term_hit_rate, CASE WHEN scoped THEN CASE WHEN dn > 0 THEN round(dw / dn, 6) ELSE 0 END END AS wrong_document_rate,
-  CASE WHEN len(expected_tags) > 0 THEN round(len(list_intersect(rt, expected_tags)) / len(expected_tags), 6) END AS expected_tag_hit_rate, CASE WHEN len(allowed_tags) > 0 THEN CASE WHEN len(tg) > 0 THEN round(pn / len(tg), 6) ELSE 0 END END AS tag_pollution_rate,
-  CASE WHEN len(allowed_tags) > 0 THEN (NOT list_has_all(allowed_tags, rt))::INT::DOUBLE END AS unexpected_tag_hit_rate, CASE WHEN list_contains(expected_modalities, 'image') THEN round(mi / 10, 6) END AS image_precision_at_k,
-  CASE WHEN list_contains(expected_modalities, 'image') THEN round(mi / n_rel, 6) END AS image_recall_at_k, CASE WHEN list_contains(expected_modalities, 'image') THEN (ni > 0)::INT::DOUBLE END AS visual_coverage, CASE WHEN list_contains(expected_modalities, 'table') THEN round(mt / n_rel, 6) END AS table_recall_at_k,
-  xn AS expected_chunk_count, CASE WHEN xn > 0 THEN xm END AS matched_expected_chunks, CASE WHEN tn > 0 THEN tn END AS expected_term_count, CASE WHEN tn > 0 THEN tm END AS matched_expected_terms, CASE WHEN scoped THEN dn END AS document_scored_chunk_count, CASE WHEN scoped THEN dw END AS wrong_document_count,
+jm AS MATERIALIZED (SELECT query_id, query_type, (n > 0)::DOUBLE AS hit_rate, round(coalesce(1 / first, 0), 6) AS mrr,
+  round(n / 10, 6) AS precision_at_k, round(n / n_rel, 6) AS recall_at_k, round(coalesce(dcg / ideal, 0), 6) AS ndcg_at_k,
+  round(ap / n_rel, 6) AS map_at_k,
+  nothing::INT::DOUBLE AS empty_result_rate, round(n / n_rel, 6) AS supporting_document_coverage, round(xm / xn, 6) AS strict_chunk_recall_at_k, CASE
+    WHEN xn > 0 THEN (xm > 0)::INT::DOUBLE END AS expected_chunk_hit_rate, CASE WHEN xn > 0 THEN
+    coalesce(xr, 11)::DOUBLE END AS expected_evidence_rank,
+  CASE WHEN tn > 0 THEN round(tm / tn, 6) END AS expected_term_recall_at_k, CASE
+    WHEN tn > 0 THEN (tm = tn)::INT::DOUBLE END AS expected_term_hit_rate, CASE WHEN tn > 0 AND list_contains(expected_modalities, 'table') THEN
+    round(tm / tn, 6) END AS table_term_recall_at_k,
+  CASE WHEN tn > 0 AND list_contains(expected_modalities, 'table') THEN (tm = tn)::INT::DOUBLE END AS table_term_hit_rate, CASE WHEN scoped THEN CASE
+    WHEN dn > 0 THEN round(dw / dn, 6) ELSE 0 END END AS wrong_document_rate,
+  CASE WHEN len(expected_tags) > 0 THEN round(len(list_intersect(rt, expected_tags)) / len(expected_tags), 6) END AS expected_tag_hit_rate, CASE WHEN
+    len(allowed_tags) > 0 THEN CASE WHEN len(tg) > 0 THEN round(pn / len(tg), 6) ELSE 0 END END AS tag_pollution_rate,
+  CASE WHEN len(allowed_tags) > 0 THEN (NOT list_has_all(allowed_tags, rt))::INT::DOUBLE END AS unexpected_tag_hit_rate, CASE
+    WHEN list_contains(expected_modalities, 'image') THEN round(mi / 10, 6) END AS image_precision_at_k,
+  CASE WHEN list_contains(expected_modalities, 'image') THEN round(mi / n_rel, 6) END AS image_recall_at_k, CASE
+    WHEN list_contains(expected_modalities, 'image') THEN (ni > 0)::INT::DOUBLE END AS visual_coverage, CASE
+    WHEN list_contains(expected_modalities, 'table') THEN round(mt / n_rel, 6) END AS table_recall_at_k,
+  xn AS expected_chunk_count, CASE WHEN xn > 0 THEN xm END AS matched_expected_chunks, CASE WHEN tn > 0 THEN tn END AS expected_term_count, CASE
+    WHEN tn > 0 THEN tm END AS matched_expected_terms, CASE WHEN scoped THEN dn END AS document_scored_chunk_count, CASE
+    WHEN scoped THEN dw END AS wrong_document_count,
   CASE WHEN len(expected_tags) > 0 THEN len(expected_tags) END AS expected_tag_count, CASE WHEN len(expected_tags) > 0 THEN len(list_intersect(rt, expected_tags)) END AS matched_expected_tags, CASE WHEN len(allowed_tags) > 0 THEN len(tg) END AS tagged_chunk_count, CASE WHEN len(allowed_tags) > 0 THEN pn END AS polluted_tagged_chunk_count FROM jx)"""
 
 
@@ -136,7 +168,9 @@ def gate_all(s, d):
 
 
 @query(f"""WITH {_SETUP}, v AS (SELECT query_id, count(*) AS n, string_agg(lower(coalesce(content, '') || chr(10) || document_name || chr(10) || document_id), chr(10) ORDER BY rank) AS text, string_agg(lower(document_name || chr(10) || document_id), chr(10) ORDER BY rank) AS names FROM hh GROUP BY 1),
-w AS (SELECT query_id, coalesce(n, 0) AS chunk_count, min_chunks, len(list_filter(expected_terms, lambda t: NOT contains(coalesce(text, ''), t))) AS missing_terms, len(list_filter(expected_documents, lambda t: NOT contains(coalesce(names, ''), t))) AS missing_documents FROM cs LEFT JOIN v USING (query_id))
+w AS (SELECT query_id, coalesce(n, 0) AS chunk_count, min_chunks,
+  len(list_filter(expected_terms, lambda t: NOT contains(coalesce(text, ''), t))) AS missing_terms,
+  len(list_filter(expected_documents, lambda t: NOT contains(coalesce(names, ''), t))) AS missing_documents FROM cs LEFT JOIN v USING (query_id))
 SELECT query_id, chunk_count, missing_terms, missing_documents, chunk_count >= min_chunks AND missing_terms = 0 AND missing_documents = 0 AS passed FROM w""")
 def validate_cases(s, d):
     return ju.validate(_hits(s, d), _cases(s, d))

@@ -43,22 +43,26 @@ def doc_coverage(s, d):
 
 @_query(f"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), y AS (SELECT *, {_flat('t')} AS f FROM x)
 SELECT doc_id, length(t) AS chars, {_n('lower(t)', tx.TOKEN)} AS tokens, len({_toks('t', tx.EVIDENCE_STOPWORDS)}) AS terms,
-CASE WHEN t = '' THEN 0 ELSE greatest(1, ceil(length(f) / (CASE WHEN {_n('f', tx.CJK)} >= greatest(1, length(f) // 8) THEN 2.0 ELSE 4.0 END))) END::BIGINT AS token_estimate,
+CASE WHEN t = '' THEN 0 ELSE greatest(1, ceil(length(f) / (CASE WHEN {_n('f', tx.CJK)} >= greatest(1, length(f) // 8) THEN 2.0
+  ELSE 4.0 END))) END::BIGINT AS token_estimate,
 {_n('t', tx.CJK)} AS cjk, {_n('t', r'[\x00-\x08\x0B\x0C\x0E-\x1F]')} AS control_chars, {_preview('t', 220)} AS preview FROM y""")
 def text_profile(s, d):
     return co.text_profile(_t(s, d, "documents"))
 
 
 @_query(rf"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-y AS (SELECT doc_id, t, round({_n('t', '�')} / greatest(length(t), 1), 6) AS r, round({_n('t', r'[\x00-\x08\x0B\x0C\x0E-\x1F]')} / greatest(length(t), 1), 6) AS c FROM x)
+y AS (SELECT doc_id, t, round({_n('t', '�')} / greatest(length(t), 1), 6) AS r,
+  round({_n('t', r'[\x00-\x08\x0B\x0C\x0E-\x1F]')} / greatest(length(t), 1), 6) AS c FROM x)
 SELECT doc_id, r AS replacement_ratio, c AS control_ratio, CASE WHEN {_flat('t')} = '' OR r >= 0.05 OR c >= 0.02 THEN 'BLOCKED' ELSE 'PASS' END AS status FROM y""")
 def quality_status(s, d):
     return co.quality_status(_t(s, d, "documents"))
 
 
 @_query(r"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t0 FROM documents), b AS (SELECT *, regexp_replace(t0, '\r\n?', chr(10), 'g') AS t1 FROM a),
-c AS (SELECT *, regexp_replace(t1, '(?m)[ \t]+$', '', 'g') AS t2 FROM b), e AS (SELECT *, regexp_replace(t2, '\n{3,}', chr(10) || chr(10), 'g') AS t3 FROM c)
-SELECT doc_id, len(regexp_extract_all(t0, '\r\n?')) AS crlf, len(regexp_extract_all(t1, '(?m)[ \t]+$')) AS trailing, len(regexp_extract_all(t2, '\n{3,}')) AS blank,
+c AS (SELECT *, regexp_replace(t1, '(?m)[ \t]+$', '', 'g') AS t2 FROM b), e AS (SELECT *, regexp_replace(t2, '\n{3,}', chr(10) || chr(10), 'g') AS t3
+  FROM c)
+SELECT doc_id, len(regexp_extract_all(t0, '\r\n?')) AS crlf, len(regexp_extract_all(t1, '(?m)[ \t]+$')) AS trailing,
+  len(regexp_extract_all(t2, '\n{3,}')) AS blank,
 sha256(CASE WHEN t3 = '' OR suffix(t3, chr(10)) THEN t3 ELSE t3 || chr(10) END) AS cleaned_sha256 FROM e""")
 def clean_profile(s, d):
     t = F.coalesce("text", F.lit(""))
@@ -133,7 +137,9 @@ def _hits(s: SparkSession, d: str, by: list[str] | None = None) -> DataFrame:
 
 def _hits_sql(name: str, where: str = "TRUE") -> str:
     return f"""{name}_q AS (SELECT item_id AS query_id, {_toks('text', tx.EVIDENCE_STOPWORDS)} AS w FROM benchmark WHERE text IS NOT NULL),
-{name}_s AS (SELECT query_id, doc_id, len(w) AS n_terms, round(count(*) / len(w), 6) AS similarity FROM (SELECT query_id, w, unnest(w) AS term FROM {name}_q) JOIN (SELECT doc_id, unnest({_toks('text', tx.EVIDENCE_STOPWORDS)}) AS term FROM documents WHERE {where} AND text IS NOT NULL) USING (term) GROUP BY query_id, doc_id, w),
+{name}_s AS (SELECT query_id, doc_id, len(w) AS n_terms, round(count(*) / len(w), 6) AS similarity FROM (SELECT query_id, w, unnest(w) AS term
+  FROM {name}_q) JOIN (SELECT doc_id, unnest({_toks('text', tx.EVIDENCE_STOPWORDS)}) AS term FROM documents WHERE {where}
+  AND text IS NOT NULL) USING (term) GROUP BY query_id, doc_id, w),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= 10)"""
 
 
@@ -182,7 +188,8 @@ def minmax_norm(s, d):
 
 
 @_query(f"""WITH {_TWO}, j AS (SELECT query_id, doc_id, x.rank AS r0, y.rank AS r1 FROM a x FULL JOIN b y USING (query_id, doc_id))
-SELECT query_id, count(*) FILTER (r0 IS NOT NULL AND r1 IS NOT NULL) AS n_common, count(*) FILTER (r1 < r0) AS n_up, count(*) FILTER (r1 > r0) AS n_down,
+SELECT query_id, count(*) FILTER (r0 IS NOT NULL AND r1 IS NOT NULL) AS n_common, count(*) FILTER (r1 < r0) AS n_up,
+  count(*) FILTER (r1 > r0) AS n_down,
 round(count(*) FILTER (r0 IS NOT NULL AND r1 IS NOT NULL) / greatest(count(r0), 1), 6) AS overlap, round(coalesce(avg(abs(r1 - r0)), 0), 6) AS mean_abs_delta FROM j GROUP BY 1""")
 def rerank_delta(s, d):
     u = _two_runs(s, d)
@@ -197,9 +204,13 @@ def _graded(s, d):
 
 
 _METRICS = f"""{_hits_sql('h')}, qa AS (SELECT doc_id, {_RUN} AS r FROM documents WHERE text IS NOT NULL), qb AS (SELECT item_id AS query_id, {_RUN} AS q FROM benchmark WHERE text IS NOT NULL),
-rel AS (SELECT query_id, doc_id, 1.0 + coalesce((SELECT max(quality) FROM labels l WHERE l.doc_id = qa.doc_id), 0) AS rel FROM qa JOIN qb ON contains(r, q)),
-idl AS (SELECT query_id, count(*) AS n_rel, sum((2 ** rel - 1) / log2(i + 1)) FILTER (i <= 10) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS i FROM rel) GROUP BY 1),
-got AS (SELECT query_id, count(*) AS n, min(rank) AS first, sum((2 ** rel - 1) / log2(rank + 1)) AS dcg, sum(nth / rank) AS ap FROM (SELECT h.query_id, rank, rel, row_number() OVER (PARTITION BY h.query_id ORDER BY rank) AS nth FROM h JOIN rel USING (query_id, doc_id)) GROUP BY 1),
+rel AS (SELECT query_id, doc_id, 1.0 + coalesce((SELECT max(quality) FROM labels l WHERE l.doc_id = qa.doc_id), 0) AS rel FROM qa
+  JOIN qb ON contains(r, q)),
+idl AS (SELECT query_id, count(*) AS n_rel, sum((2 ** rel - 1) / log2(i + 1)) FILTER (i <= 10) AS ideal
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS i FROM rel) GROUP BY 1),
+got AS (SELECT query_id, count(*) AS n, min(rank) AS first, sum((2 ** rel - 1) / log2(rank + 1)) AS dcg, sum(nth / rank) AS ap
+  FROM (SELECT h.query_id, rank, rel, row_number() OVER (PARTITION BY h.query_id ORDER BY rank) AS nth FROM h JOIN rel USING (query_id, doc_id))
+  GROUP BY 1),
 m AS (SELECT query_id, (coalesce(n, 0) > 0)::DOUBLE AS hit, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(n, 0) / 10, 6) AS precision, round(coalesce(n, 0) / n_rel, 6) AS recall, round(coalesce(dcg / ideal, 0), 6) AS ndcg, round(coalesce(ap / n_rel, 0), 6) AS map FROM idl LEFT JOIN got USING (query_id))"""
 
 
@@ -270,7 +281,8 @@ def follow_up(s, d):
 
 
 @_query(f"""WITH c AS (SELECT conv_id, turn, role, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 0 ELSE greatest(1, {_n("coalesce(text, '')", tx.CJK)} + {_n("coalesce(text, '')", '[A-Za-z0-9_]+')}) END AS cost FROM conversations),
-w AS (SELECT *, row_number() OVER o AS back, (sum(cost) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn DESC))
+w AS (SELECT *, row_number() OVER o AS back, (sum(cost) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS running
+  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn DESC))
 SELECT conv_id, turn, role, cost, running FROM w WHERE back <= 8 AND running <= 400""")
 def session_bound(s, d):
     return cv.bounded_context(_turns(s, d))
@@ -286,7 +298,8 @@ _KB = "(VALUES ('kb0', ['the river', 'water']), ('kb1', ['market', 'price of']),
 
 
 @_query(f"""WITH q AS (SELECT item_id AS query_id, lower(text) AS q, {_RT('text')} AS t FROM benchmark WHERE text IS NOT NULL),
-x AS (SELECT query_id, name, list_sum(list_transform(hints, lambda h: CASE WHEN contains(q, lower(h)) THEN 10.0 ELSE len(list_intersect(t, {_RT('h')})) END::DOUBLE)) + CASE WHEN list_has_any(t, {_RT('name')}) THEN 0.5 ELSE 0 END
+x AS (SELECT query_id, name, list_sum(list_transform(hints, lambda h: CASE WHEN contains(q, lower(h)) THEN 10.0 ELSE
+  len(list_intersect(t, {_RT('h')})) END::DOUBLE)) + CASE WHEN list_has_any(t, {_RT('name')}) THEN 0.5 ELSE 0 END
   + least(1.0, 0.25 * len(list_intersect(t, {_RT("array_to_string(hints, ' ')")}))) AS s FROM q, {_KB})
 SELECT query_id, score::DOUBLE AS score, CASE WHEN score > 0 THEN name ELSE 'kb0' END AS selected, score < 2 AS low_confidence FROM (SELECT query_id, name, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, name) AS r FROM x) WHERE r = 1""")
 def route_cross(s, d):

@@ -43,7 +43,8 @@ def _questions(s, d):
 
 
 @query(f"""WITH {_Q}, b AS (SELECT *, {_BARE} AS b FROM q),
-v AS (SELECT conv_id, turn, list_filter([f, CASE WHEN b <> '' AND b <> f THEN b END, {_SHORT}, CASE WHEN len({_TOK}) BETWEEN 2 AND 8 THEN array_to_string({_TOK}, ' ') END], lambda x: x IS NOT NULL) AS v FROM b)
+v AS (SELECT conv_id, turn, list_filter([f, CASE WHEN b <> '' AND b <> f THEN b END, {_SHORT}, CASE WHEN len({_TOK}) BETWEEN 2
+  AND 8 THEN array_to_string({_TOK}, ' ') END], lambda x: x IS NOT NULL) AS v FROM b)
 SELECT conv_id, turn, array_to_string({_ONCE}, '|') AS queries, len({_ONCE}) AS n_queries FROM v""")
 def rewrite_plan(s, d):
     q = _questions(s, d).withColumn("p", rw.rewrite_plan(F.col("f"), "simple"))
@@ -56,7 +57,8 @@ _DICT = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in rw.TERMS.items()) + "}"
 
 @query(f"""WITH {values("w", "id long, text string", _WORDS)}, f AS (SELECT id, {sql_collapse('text')} AS f FROM w UNION ALL SELECT 100 + item_id, {sql_collapse("coalesce(text, '')")} FROM benchmark),
 t AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(lower(f), '[0-9A-Za-z_]+|[\\x{{4E00}}-\\x{{9FFF}}]+'), lambda x: ({_DICT})[x]), lambda x: x IS NOT NULL)) AS t0,
-  list_filter(list_transform(regexp_extract_all(lower(f), '[0-9A-Za-z_]+|[\\x{{4E00}}-\\x{{9FFF}}]+'), lambda x: ({_DICT})[x]), lambda x: x IS NOT NULL) AS ts FROM f),
+  list_filter(list_transform(regexp_extract_all(lower(f), '[0-9A-Za-z_]+|[\\x{{4E00}}-\\x{{9FFF}}]+'), lambda x: ({_DICT})[x]), lambda x: x IS NOT NULL) AS ts
+    FROM f),
 u AS (SELECT *, list_filter(ts, lambda x, i: list_position(ts, x) = i) AS u FROM t)
 SELECT id, CASE WHEN len(u) > 0 THEN f || ' ' || array_to_string(u, ' ') END AS translated, CASE WHEN contains(f, '勒迈特') THEN replace(f, '勒迈特', 'Lemaître') || '|' || replace(f, '勒迈特', 'Lemaitre') ELSE '' END AS names FROM u""")
 def rewrite_translations(s, d):
@@ -89,8 +91,11 @@ _TRIM = "trim(regexp_replace(trim(x), '{v}', ''), ' ,.;:!?')".replace("{v}", rw.
 
 
 @query(f"""WITH {_PLAN}, p AS (SELECT *, list_filter(list_transform(list_transform(string_split_regex(f, '{rw.PARTS}'), lambda x: {_TRIM}), lambda y: upper(y[1:1]) || y[2:]), lambda z: len(regexp_extract_all(lower(z), '{tx.TOKEN}')) >= 2) AS p0, regexp_replace(f, '[?.!]+$', '') AS b FROM c),
-p1 AS (SELECT *, list_concat(p0, CASE WHEN intent = 'comparison' AND len(p0) < 2 THEN [b || ' key criteria', b || ' differences'] ELSE [] END) AS p1 FROM p),
-v AS (SELECT *, list_transform(list_concat(p1, CASE WHEN contains(lower(f), 'pros and cons') AND NOT list_bool_or(list_transform(list_concat(p1, ['x']), lambda x: contains(lower(x), 'pros'))) THEN [b || ' advantages', b || ' disadvantages'] ELSE [] END), lambda x: {sql_collapse('x')}) AS v FROM p1)
+p1 AS (SELECT *, list_concat(p0, CASE WHEN intent = 'comparison' AND len(p0) < 2 THEN [b || ' key criteria', b || ' differences'] ELSE [] END) AS p1
+  FROM p),
+v AS (SELECT *, list_transform(list_concat(p1, CASE WHEN contains(lower(f), 'pros and cons')
+  AND NOT list_bool_or(list_transform(list_concat(p1, ['x']), lambda x: contains(lower(x), 'pros'))) THEN [b || ' advantages', b || ' disadvantages']
+  ELSE [] END), lambda x: {sql_collapse('x')}) AS v FROM p1)
 SELECT conv_id, turn, CASE WHEN complexity = 'simple' THEN '' ELSE array_to_string(({_ONCE})[1:4], '|') END AS subqueries FROM v""")
 def subqueries(s, d):
     return _intents(s, d).select("conv_id", "turn", F.array_join(rw.subqueries(F.col("text"), F.col("intent")), "|").alias("subqueries"))
@@ -107,7 +112,8 @@ _MODAL = f"""CASE WHEN regexp_matches({_NAME}, 'mixed|multimodal') THEN 'mixed'
 
 
 @query(f"""WITH {values("w", "id long, text string", _LABELS)}, l AS (SELECT id, text, ({_CATS})[{_NAME}] AS category, {_MODAL} AS modality FROM w)
-SELECT id, category, coalesce(({_CATM})[category], '') AS category_modalities, modality, CASE modality WHEN 'mixed' THEN 'image,mixed,table' ELSE coalesce(modality, '') END AS expected, CASE WHEN coalesce({_NAME}, '') = '' THEN 'uncategorized' ELSE {_NAME} END AS test_category,
+SELECT id, category, coalesce(({_CATM})[category], '') AS category_modalities, modality, CASE modality WHEN 'mixed' THEN 'image,mixed,table' ELSE
+  coalesce(modality, '') END AS expected, CASE WHEN coalesce({_NAME}, '') = '' THEN 'uncategorized' ELSE {_NAME} END AS test_category,
 CASE WHEN coalesce(trim(text), '') = '' THEN 'default' ELSE text END AS query_type FROM l""")
 def modality_labels(s, d):
     t = F.col("text")
@@ -120,7 +126,8 @@ _SECRET = " OR ".join(f"regexp_matches(t, '{p}')" for p in lb.SECRETS)
 
 
 @query(f"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), l AS (SELECT *, {sql_count('t', tx.CJK)} AS cjk, {sql_count('t', '[A-Za-z]')} AS latin FROM x)
-SELECT doc_id, CASE WHEN cjk >= greatest(8, latin // 2) THEN 'zh' WHEN latin > 0 THEN 'en' ELSE 'unknown' END AS language, {_SECRET} AS holds_secret, {' OR '.join(f"contains(lower(trim(t)), {_sql(p)})" for p in lb.ABSTENTIONS)} AS abstained,
+SELECT doc_id, CASE WHEN cjk >= greatest(8, latin // 2) THEN 'zh' WHEN latin > 0 THEN 'en'
+  ELSE 'unknown' END AS language, {_SECRET} AS holds_secret, {' OR '.join(f"contains(lower(trim(t)), {_sql(p)})" for p in lb.ABSTENTIONS)} AS abstained,
 trim(regexp_replace(lower(t[1:60]), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM l""")
 def document_labels(s, d):
     t = F.coalesce("text", F.lit(""))
@@ -132,8 +139,11 @@ _HINTS = [(i, x) for i, x in enumerate(["API", "RTX4090", "deepSeek", "go lang",
 
 
 @query(f"""WITH {values("w", "id long, text string", _HINTS)}, t AS (SELECT id, trim(text) AS f, lower(text) AS n FROM w)
-SELECT id, CASE WHEN NOT regexp_matches(f, '[A-Za-z]') OR regexp_matches(f, '{tx.CJK}') THEN NULL WHEN regexp_matches(f, '[A-Za-z][0-9]|[0-9][A-Za-z]|[+.#/:_-]') OR regexp_matches(f, '[a-z][A-Z]') THEN 'product_term'
-WHEN length(regexp_replace(f, '[^A-Za-z]+', '', 'g')) BETWEEN 1 AND 5 AND len(list_distinct(regexp_extract_all(lower(f), '{tx.TOKEN}'))) = 1 THEN 'acronym' WHEN length(f) <= 8 AND len(list_distinct(regexp_extract_all(lower(f), '{tx.TOKEN}'))) <= 2 THEN 'short_english_name' END AS risk,
+SELECT id, CASE WHEN NOT regexp_matches(f, '[A-Za-z]') OR regexp_matches(f, '{tx.CJK}') THEN NULL
+  WHEN regexp_matches(f, '[A-Za-z][0-9]|[0-9][A-Za-z]|[+.#/:_-]') OR regexp_matches(f, '[a-z][A-Z]') THEN 'product_term'
+WHEN length(regexp_replace(f, '[^A-Za-z]+', '', 'g')) BETWEEN 1 AND 5 AND
+  len(list_distinct(regexp_extract_all(lower(f), '{tx.TOKEN}'))) = 1 THEN 'acronym' WHEN length(f) <= 8 AND
+  len(list_distinct(regexp_extract_all(lower(f), '{tx.TOKEN}'))) <= 2 THEN 'short_english_name' END AS risk,
 CASE WHEN regexp_matches(n, '(^|[^a-z0-9])(cn|zh|zho|chinese|ch)([^a-z0-9]|$)') OR contains(n, '中文') THEN 'zh' WHEN regexp_matches(n, '(^|[^a-z0-9])(en|eng|english)([^a-z0-9]|$)') THEN 'en' END AS file_language FROM t""")
 def hint_labels(s, d):
     w = s.createDataFrame(_HINTS, "id long, text string")
@@ -155,8 +165,10 @@ _HAS = lambda k: f"WHEN json_type(d, '$.{k}') = 'ARRAY' AND json_array_length(d,
 
 
 @query(f"""WITH {values("r", "query_id long, response string", _RAWS)}, t AS (SELECT query_id, CASE WHEN json_type(response::JSON, '$.data') IS NOT NULL THEN response::JSON->'$.data' ELSE response::JSON END AS d FROM r),
-l AS (SELECT query_id, CASE WHEN json_type(d) = 'ARRAY' THEN d::JSON[] {' '.join(_HAS(k) for k in hi.LISTS)} ELSE [] END AS a FROM t), x AS (SELECT query_id, unnest(a) AS h, unnest(range(1, len(a) + 1)) AS rank FROM l)
-SELECT query_id, rank, coalesce({_FIRST('content')}, '') AS content, coalesce(nullif({_NUM('similarity')}, 0), {_NUM('score')}) AS similarity, {', '.join(f'{_FIRST(c)} AS {c}' for c in hi.ALIASES if c != 'content')},
+l AS (SELECT query_id, CASE WHEN json_type(d) = 'ARRAY' THEN d::JSON[] {' '.join(_HAS(k) for k in hi.LISTS)} ELSE [] END AS a
+  FROM t), x AS (SELECT query_id, unnest(a) AS h, unnest(range(1, len(a) + 1)) AS rank FROM l)
+SELECT query_id, rank, coalesce({_FIRST('content')}, '') AS content,
+  coalesce(nullif({_NUM('similarity')}, 0), {_NUM('score')}) AS similarity, {', '.join(f'{_FIRST(c)} AS {c}' for c in hi.ALIASES if c != 'content')},
 coalesce({_ARR('important_keywords')}, {_ARR('important_kwd')}, '') AS important_keywords FROM x WHERE json_type(h) = 'OBJECT'""")
 def normalize_hits(s, d):
     return hi.normalize(s.createDataFrame(_RAWS, "query_id long, response string")).withColumn("important_keywords", F.array_join("important_keywords", "|"))
@@ -180,7 +192,8 @@ def retrieval_status_all(s, d):
 _PROFILES = [("a", 0.9, 0.95, 0.8, 0.7, 0.0, 120.0, 0.4, 40), ("b", 0.8, 0.9, 0.85, 0.75, 0.05, 900.0, None, 25), ("c", 1.0, 0.9, 0.8, None, 0.0, None, 0.2, 0), ("d", 0.9, 0.95, 0.8, 0.7, 0.0, 120.0, 0.4, 40)]
 _PROFILE = "profile_id string, pass_rate double, hit_rate double, mrr double, ndcg_at_k double, empty_result_rate double, query_latency_ms double, cost_usd double, query_count long"
 _PSCORE = f"""{values("p", _PROFILE, _PROFILES)}, z AS (SELECT profile_id, query_count, coalesce(pass_rate, 0) AS ps, coalesce(hit_rate, 0) AS hr, coalesce(mrr, 0) AS mr, coalesce(ndcg_at_k, 0) AS ng, coalesce(empty_result_rate, 0) AS er, least(coalesce(query_latency_ms, 0) / 10000, 0.05) AS lp,
-CASE WHEN cost_usd > 0 AND query_count <= 0 THEN least(cost_usd * 0.1::DOUBLE, 0.05) WHEN cost_usd > 0 THEN least(cost_usd / query_count * 20, 0.05) ELSE 0 END AS cp FROM p),
+CASE WHEN cost_usd > 0 AND query_count <= 0 THEN least(cost_usd * 0.1::DOUBLE, 0.05) WHEN cost_usd > 0 THEN least(cost_usd / query_count * 20, 0.05)
+  ELSE 0 END AS cp FROM p),
 s AS (SELECT profile_id, query_count, round(lp, 6) AS latency_penalty, round(cp, 6) AS cost_penalty, round((hr + mr + ng) / 3, 6) AS benchmark_quality, round(ps * 0.38::DOUBLE + hr * 0.25::DOUBLE + mr * 0.2::DOUBLE + ng * 0.12::DOUBLE - er * 0.05::DOUBLE - lp - cp, 6) AS score FROM z)"""
 
 
@@ -203,7 +216,9 @@ _CANDIDATES = [(1, 0.9, 0.9, 0.8, 0.7, 0.5, 1.0, 0.0, 0.9, 120.0, 1000.0, 0.0),
 _CANDIDATE = "candidate_index long, pass_rate double, hit_rate double, mrr double, ndcg_at_k double, strict_chunk_recall_at_k double, expected_chunk_hit_rate double, empty_result_rate double, recall_at_k double, query_latency_ms double, parse_time_ms double, enrichment_weight double"
 _C01 = lambda c: f"least(1, greatest(0, coalesce({c}, 0)))"
 _CSCORE = f"""{values("c", _CANDIDATE, _CANDIDATES)}, m AS (SELECT *, greatest(0, {' + '.join(f'{_C01(c)} * {w}::DOUBLE' for c, w in sc.CANDIDATE_WEIGHTS.items()).replace('+ least(1, greatest(0, coalesce(empty', '+ least(1, greatest(0, coalesce(empty')}) AS b,
-CASE WHEN query_latency_ms IS NULL THEN 0.025 ELSE round(query_latency_ms / max(query_latency_ms) OVER () * 0.05::DOUBLE, 4) END + CASE WHEN parse_time_ms IS NULL THEN 0.025 ELSE round(parse_time_ms / max(parse_time_ms) OVER () * 0.05::DOUBLE, 4) END + round(enrichment_weight / max(enrichment_weight) OVER () * 0.04::DOUBLE, 4) AS k FROM c),
+CASE WHEN query_latency_ms IS NULL THEN 0.025 ELSE round(query_latency_ms / max(query_latency_ms) OVER () * 0.05::DOUBLE, 4) END + CASE
+  WHEN parse_time_ms IS NULL THEN 0.025 ELSE round(parse_time_ms / max(parse_time_ms) OVER () * 0.05::DOUBLE, 4) END +
+  round(enrichment_weight / max(enrichment_weight) OVER () * 0.04::DOUBLE, 4) AS k FROM c),
 s AS (SELECT *, round({_C01('b')}, 4) AS pre_cost_score, round(k, 4) AS cost_penalty, round({_C01('b - k')}, 4) AS score FROM m),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, enrichment_weight, query_latency_ms NULLS LAST, parse_time_ms NULLS LAST, candidate_index) AS place FROM s), w AS (SELECT * FROM r WHERE abs(pre_cost_score - (SELECT pre_cost_score FROM r WHERE place = 1)) <= 1e-9)"""
 
