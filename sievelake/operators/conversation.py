@@ -94,3 +94,39 @@ def route(questions: DataFrame, bases: DataFrame, default: str | None = None) ->
     ranked = F.array_sort(F.transform("bases", lambda k: F.struct((-score(k)).alias("m"), k["name"].alias("name"))))
     out = questions.crossJoin(F.broadcast(b)).select("query_id", ranked.alias("r")).select("query_id", (-F.col("r")[0]["m"]).alias("score"), F.col("r")[0]["name"].alias("name"))
     return out.select("query_id", F.abs("score").alias("score"), F.when(F.col("score") > 0, F.col("name")).otherwise(F.lit(default)).alias("selected"), (F.col("score") < 2).alias("low_confidence"))
+
+
+# What follows from an intent.
+ROUTES = {
+    "clarification_needed": ("clarification", "ask_clarifying_question"),
+    "out_of_scope": ("rejected", "reject_or_redirect"),
+    "comparison": ("retrieval_planned", "retrieve_and_compare"),
+    "knowledge_query": ("retrieval_planned", "retrieve"),
+}
+
+
+def intent_routes(questions: DataFrame) -> DataFrame:
+    """:func:`intents` with the status and action that follow, and whether to retrieve."""
+    out = intents(questions)
+    pick = lambda i: F.coalesce(*(F.when(F.col("intent") == k, F.lit(v[i])) for k, v in ROUTES.items()))
+    return out.withColumn("status", pick(0)).withColumn("action", pick(1)).withColumn("should_retrieve", F.col("status") == "retrieval_planned")
+
+
+def enriched(turns: DataFrame, max_turns: int = 8, max_tokens: int = 400) -> DataFrame:
+    """Each user turn as a question to the session before it (conv_id, turn, role, text).
+
+    A question that needs context gets the last user turn of the bounded context before it, else
+    its last turn; without one it must be clarified. The bounded context is a frame of ``max_turns``
+    rows of the conversation's window, whose costs are summed inside the row.
+    """
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-max_turns, -1)
+    t = turns.select("conv_id", "turn", "role", tx.collapse(F.coalesce("text", F.lit(""))).alias("text"), session_tokens(F.coalesce("text", F.lit(""))).alias("cost"))
+    t = t.withColumn("past", F.reverse(F.collect_list(F.struct("role", "text", "cost")).over(before)))
+    costs = lambda p, i: F.aggregate(F.slice(p, 1, i + 1), F.lit(0).cast("long"), lambda s, x: s + x["cost"])
+    kept = tx.let(F.col("past"), lambda p: F.filter(p, lambda x, i: costs(p, i) <= max_tokens))
+    t = t.withColumn("kept", kept).where("role = 'user'")
+    anchor = F.coalesce(F.get(F.filter("kept", lambda x: x["role"] == "user"), F.lit(0)), F.get("kept", F.lit(0)))["text"]
+    f = follow_ups(t.withColumn("anchor", anchor))
+    applied = F.col("needs_context") & F.col("anchor").isNotNull()
+    question = F.when(applied, F.concat("text", F.lit(" Context: "), "anchor")).otherwise(F.col("text"))
+    return f.select("conv_id", "turn", "needs_context", applied.alias("context_applied"), (F.col("needs_context") & F.col("anchor").isNull()).alias("requires_clarification"), question.alias("question"))

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import records as rc
 from sievelake.functions import text as tx
+from sievelake.operators import conversation as cv
 from sievelake.operators import sections as se
 from sievelake.operators import sets as st
 from sievelake.plans import documents as dc
 from sievelake.plans import registry as rg
-from sievelake.plans.base import query, sql_collapse, sql_count, table
+from sievelake.plans import scalars as sc
+from sievelake.plans.base import query, sql_collapse, sql_count, sql_list, table
 from sievelake.plans.scalars import values
 
 _URLS = [(i, x) for i, x in enumerate(["http://localhost:9380/api?x=1", "https://192.168.1.4/", "http://100.64.3.1", "http://127.0.0.9:80", "https://example.org/a/b", "http://box", "http://nas.local/x", "http://203.0.113.7", "http://8.8.8.8?q", "https://u:p@10.2.3.4:8443/v1", "", "nothing", "http://300.1.1.1/"])]
@@ -203,3 +205,29 @@ def multiset_difference(s, d):
     docs = table(s, d, "documents")
     side = lambda on: docs.where(on).select("source", "lang")
     return st.surplus(side("doc_id % 2 = 0"), side("doc_id % 2 = 1")).select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit(""))).alias("pair"), "surplus")
+
+
+# --- sessions
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, {sql_collapse("coalesce(text, '')")} AS f FROM conversations), i AS (SELECT conv_id, turn, {sc._INTENT} AS intent FROM q)
+SELECT conv_id, turn, intent, CASE intent WHEN 'clarification_needed' THEN 'clarification' WHEN 'out_of_scope' THEN 'rejected' ELSE 'retrieval_planned' END AS status,
+CASE intent WHEN 'clarification_needed' THEN 'ask_clarifying_question' WHEN 'out_of_scope' THEN 'reject_or_redirect' WHEN 'comparison' THEN 'retrieve_and_compare' ELSE 'retrieve' END AS action,
+intent IN ('comparison', 'knowledge_query') AS should_retrieve FROM i""")
+def route_intents(s, d):
+    return cv.intent_routes(table(s, d, "conversations")).select("conv_id", "turn", "intent", "status", "action", "should_retrieve")
+
+
+_COST = f"""CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 0 ELSE greatest(1, {sql_count("coalesce(text, '')", tx.CJK)} + {sql_count("coalesce(text, '')", '[A-Za-z0-9_]+')}) END"""
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, {sql_collapse("coalesce(text, '')")} AS f, {_COST} AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+b AS (SELECT a.conv_id, a.turn, p.role, p.f, p.i, sum(p.cost) OVER (PARTITION BY a.conv_id, a.turn ORDER BY p.i DESC) AS running FROM t a JOIN t p ON a.conv_id = p.conv_id AND p.i < a.i AND p.i >= a.i - 8),
+k AS (SELECT conv_id, turn, coalesce(arg_max(f, i) FILTER (role = 'user'), arg_max(f, i)) AS anchor FROM b WHERE running <= 400 GROUP BY ALL),
+n AS (SELECT t.conv_id, t.turn, f, anchor, len({sc._TOKENS}) AS n, list_has_any({sc._TOKENS}, {sql_list(cv.REFERENCES)}) OR contains(lower(f), 'above') OR contains(lower(f), 'previous')
+  OR contains(lower(f), 'earlier') AS refers, regexp_matches(lower(f), '{cv.STARTER}') AS starts FROM t LEFT JOIN k USING (conv_id, turn) WHERE role = 'user'),
+x AS (SELECT *, (n <= 6 AND (refers OR starts)) OR (starts AND n <= 8) AS needs FROM n)
+SELECT conv_id, turn, needs AS needs_context, needs AND anchor IS NOT NULL AS context_applied, needs AND anchor IS NULL AS requires_clarification,
+CASE WHEN needs AND anchor IS NOT NULL THEN f || ' Context: ' || anchor ELSE f END AS question FROM x""")
+def session_enrich(s, d):
+    return cv.enriched(table(s, d, "conversations"))
