@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,76 @@ def outcome(items: DataFrame, key: str, status: str, success: list[str], warning
     s = (F.when(F.expr("n = 0"), "empty").when(F.expr("ok > 0 AND failed + skipped + late > 0"), "partial").when(F.col("failed") > 0, "failed").when(F.expr("skipped = n"), "skipped")
          .when(F.col("skipped") > 0, "incomplete").when(F.col("unknown") > 0, "unknown").when(F.col("warned") > 0, "completed_with_warnings").otherwise("completed"))
     return c.select(key, "n", s.alias("outcome"))
+
+
+# Names of stages, with the standard stage and the category of each.
+STAGE_NAMES = {
+    "conversion": ("conversion", "conversion"),
+    "convert": ("conversion", "conversion"),
+    "document_conversion": ("conversion", "conversion"),
+    "mineru_conversion": ("conversion", "conversion"),
+    "backend_conversion": ("conversion", "conversion"),
+    "postprocess": ("postprocess", "conversion"),
+    "post_process": ("postprocess", "conversion"),
+    "postprocessing": ("postprocess", "conversion"),
+    "package": ("packaging", "conversion"),
+    "packaging": ("packaging", "conversion"),
+    "rich_handoff_package": ("packaging", "conversion"),
+    "formal_handoff_manifest": ("packaging", "conversion"),
+    "hints": ("hint_generation", "conversion"),
+    "hint_generation": ("hint_generation", "conversion"),
+    "retrieval_hints": ("hint_generation", "conversion"),
+    "asset": ("asset_planning", "conversion"),
+    "asset_upload_plan": ("asset_planning", "kb_build"),
+    "asset_planning": ("asset_planning", "kb_build"),
+    "ingest_plan": ("asset_planning", "kb_build"),
+    "local_asset_copy": ("asset_planning", "conversion"),
+    "remote_asset_materialization": ("asset_planning", "conversion"),
+    "dataset_create": ("dataset_create", "kb_build"),
+    "create_dataset": ("dataset_create", "kb_build"),
+    "dataset_update": ("dataset_update", "kb_build"),
+    "update_dataset": ("dataset_update", "kb_build"),
+    "markdown_upload": ("markdown_upload", "kb_build"),
+    "upload_markdown": ("markdown_upload", "kb_build"),
+    "image_upload": ("image_upload", "kb_build"),
+    "visual_upload": ("image_upload", "kb_build"),
+    "trigger_parse": ("parse_trigger", "kb_build"),
+    "parse_trigger": ("parse_trigger", "kb_build"),
+    "wait_parse": ("parse_wait", "kb_build"),
+    "parse_wait": ("parse_wait", "kb_build"),
+    "image_parse_wait": ("parse_wait", "kb_build"),
+    "validation": ("validation", "validation"),
+    "validate": ("validation", "validation"),
+    "benchmark_validation": ("validation", "validation"),
+    "query": ("query", "query"),
+    "ask": ("query", "query"),
+    "retrieval": ("retrieval", "query"),
+    "retrieve": ("retrieval", "query"),
+    "cleanup": ("cleanup", "cleanup"),
+    "cleanup_plan": ("cleanup", "cleanup"),
+    "preview_cleanup_plan": ("cleanup", "cleanup"),
+    "delete_dataset": ("cleanup", "cleanup"),
+}
+
+
+def standard_stage(stage: Column, operation: Column) -> Column:
+    """struct(stage, category): the standard stage that the stage's name, else the operation's, stands for; else its own name and 'other'."""
+    key = lambda c: F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), "- ", "__")
+    pair = lambda a, b: F.struct(a.alias("stage"), b.alias("category"))
+    known = F.create_map(*(x for name, (a, b) in STAGE_NAMES.items() for x in (F.lit(name), pair(F.lit(a), F.lit(b)))))
+    own = pair(F.when(key(stage) != "", key(stage)).otherwise("unspecified"), F.lit("other"))
+    return F.coalesce(F.element_at(known, key(stage)), F.element_at(known, key(operation)), own)
+
+
+def normalize_timings(timings: DataFrame) -> DataFrame:
+    """(stage, operation, status, duration_ms, included_in) timings with their standard stage and category.
+
+    A retrieval that is part of a query counts as the query; durations that are negative or not finite are null
+    and do not count toward the total.
+    """
+    stage = F.coalesce(F.when(F.trim("stage") != "", F.trim("stage")), F.lit("unspecified"))
+    operation = F.coalesce(F.when(F.trim("operation") != "", F.trim("operation")), stage)
+    s = standard_stage(stage, operation)
+    name = F.when((s["stage"] == "retrieval") & (F.trim(F.coalesce("included_in", F.lit(""))) == "query"), "query").otherwise(s["stage"])
+    ms = F.when((F.col("duration_ms") >= 0) & ~F.isnan("duration_ms") & (F.col("duration_ms") < float("inf")), F.round("duration_ms", 3))
+    return timings.withColumns({"standard_stage": name, "category": s["category"], "status": F.coalesce("status", F.lit("unknown")), "duration_ms": ms, "counted": ms.isNotNull()})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievelake.functions import records as rc
 from sievelake.functions import text as tx
 from sievelake.operators import conversation as cv
+from sievelake.operators import runtime as ru
 from sievelake.operators import sections as se
 from sievelake.operators import sets as st
 from sievelake.plans import documents as dc
@@ -231,3 +232,21 @@ SELECT conv_id, turn, needs AS needs_context, needs AND anchor IS NOT NULL AS co
 CASE WHEN needs AND anchor IS NOT NULL THEN f || ' Context: ' || anchor ELSE f END AS question FROM x""")
 def session_enrich(s, d):
     return cv.enriched(table(s, d, "conversations"))
+
+
+_STAGES = "MAP {" + ", ".join(f"'{k}': {{'s': '{a}', 'c': '{b}'}}" for k, (a, b) in ru.STAGE_NAMES.items()) + "}"
+_KEY = lambda c: f"translate(lower(trim(coalesce({c}, ''))), '- ', '__')"
+
+
+@query(f"""WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Wait Parse' WHEN 1 THEN 'retrieve' WHEN 2 THEN '' WHEN 3 THEN 'My-Stage' WHEN 4 THEN 'x' END AS stage, CASE event_id % 4 WHEN 0 THEN 'upload-markdown' WHEN 1 THEN ' ' END AS operation,
+  CASE WHEN event_id % 3 = 0 THEN 'query' END AS included_in, CASE WHEN event_id % 11 = 0 THEN -value ELSE value END AS ms FROM events),
+n AS (SELECT event_id, included_in, ms, coalesce(nullif(trim(stage), ''), 'unspecified') AS st, coalesce(nullif(trim(operation), ''), nullif(trim(stage), ''), 'unspecified') AS op FROM e),
+p AS (SELECT *, coalesce(({_STAGES})[{_KEY('st')}], ({_STAGES})[{_KEY('op')}], {{'s': {_KEY('st')}, 'c': 'other'}}) AS k FROM n)
+SELECT event_id, CASE WHEN k.s = 'retrieval' AND included_in = 'query' THEN 'query' ELSE k.s END AS standard_stage, k.c AS category, CASE WHEN ms >= 0 THEN round(ms, 3) END AS duration_ms, coalesce(ms >= 0, false) AS counted FROM p""")
+def stage_timings(s, d):
+    i = F.col("event_id")
+    stage = F.when(i % 6 == 0, "Wait Parse").when(i % 6 == 1, "retrieve").when(i % 6 == 2, "").when(i % 6 == 3, "My-Stage").when(i % 6 == 4, "x")
+    operation = F.when(i % 4 == 0, "upload-markdown").when(i % 4 == 1, " ")
+    t = table(s, d, "events").select("event_id", stage.alias("stage"), operation.alias("operation"), F.lit(None).cast("string").alias("status"),
+                                     F.when(i % 11 == 0, -F.col("value")).otherwise(F.col("value")).alias("duration_ms"), F.when(i % 3 == 0, "query").alias("included_in"))
+    return ru.normalize_timings(t).select("event_id", "standard_stage", "category", "duration_ms", "counted")
