@@ -50,10 +50,16 @@ def find_shards(docs: DataFrame, max_bytes: int) -> DataFrame:
         sums = sizes.groupBy(_prefix(F.col("h"), depth).alias("at")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.count("*").alias("keys"))
         sums = materialize(sums, "prefix-sums")
         cut = _shifted("shiftright", "at", F.lit(depth) - F.col("depth")).alias("prefix")
-        up = sums.select("*", F.explode(F.sequence(F.lit(base), F.lit(depth))).alias("depth")).select("*", cut)
-        tree = up.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.sum("keys").alias("keys"))
-        fits = tree.where((F.col("bytes") <= max_bytes) | (F.col("keys") == 1)).drop("keys")
-        chosen = up.select("at", "depth", "prefix").join(fits.hint("merge"), ["depth", "prefix"]).groupBy("at").agg(F.min_by(F.struct("depth", "prefix", "bytes", "rows"), "depth").alias("s"))
+
+        def up(lowest: int, sums: DataFrame = sums, cut: Column = cut, depth: int = depth) -> DataFrame:
+            return sums.select("*", F.explode(F.sequence(F.lit(lowest), F.lit(depth))).alias("depth")).select("*", cut)
+
+        tree = up(base).groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.sum("keys").alias("keys"))
+        fits = materialize(tree.where((F.col("bytes") <= max_bytes) | (F.col("keys") == 1)).drop("keys"), "fitting")
+        # No bucket above the first depth that fits takes part, so no bucket of half the corpus is one key of the join.
+        lowest = fits.agg(F.min("depth")).first()[0]
+        found_at = up(depth if lowest is None else lowest).select("at", "depth", "prefix").join(fits.hint("merge"), ["depth", "prefix"])
+        chosen = found_at.groupBy("at").agg(F.min_by(F.struct("depth", "prefix", "bytes", "rows"), "depth").alias("s"))
         chosen = materialize(sums.select("at").join(chosen.hint("merge"), "at", "left"), "chosen")
         level = chosen.where("s is not null").select("s.*").distinct()
         found = level if found is None else found.unionByName(level)
