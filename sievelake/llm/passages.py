@@ -27,7 +27,11 @@ told by 128 bits, on the way to the shard and back.
 Skew: each group sends a minimizer or a context once however often it has it, so copies of
 one passage in a third of all documents give one small entry a group. Memory: groups and
 shards are bounded by ``group_count``; a shard resolves one minimizer of at most ``hot``
-contexts at a time. Entries travel in packed blobs.
+contexts at a time.
+
+Disk: the larger the corpus, the larger the share of contexts that some other document has
+too, and each travels with its symbols. Entries therefore travel in compressed blobs, hashes
+as the gaps between them, and the shard computes the digests of contexts anew.
 """
 
 from __future__ import annotations
@@ -73,10 +77,14 @@ class Scheme:
     hot: int = 1024
 
 
+def _values(unit: str, symbols: np.ndarray) -> np.ndarray:
+    return BYTE_VALUE[symbols] if unit == "byte" else symbols
+
+
 def _symbols(unit: str, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols as they are compared, as they are hashed, and the number of symbols before each row."""
     if unit == "byte":
-        return buf, BYTE_VALUE[buf], offsets
+        return buf, _values(unit, buf), offsets
     hashes, before = word_hashes(buf, offsets, NOT_SPACE)
     return hashes, hashes, before
 
@@ -162,6 +170,9 @@ class _Group:
     def payloads(self, kind: str) -> list[bytes]:
         return [p for k, p in self.told if k == kind]
 
+    def hashes(self, kind: str) -> np.ndarray:
+        return np.unique(np.concatenate([np.empty(0, U), *map(_unpack48, self.payloads(kind))]))
+
     def parts(self) -> Iterator[tuple]:
         """Rows lo..hi at a time: their symbols and contexts; only rows that take part have contexts."""
         for lo, hi in blocks(self.offsets, _BLOCK):
@@ -209,25 +220,60 @@ def _minimizers(scheme: Scheme, buckets: int):
         h, n = np.unique(h[new], return_counts=True)
         cut = _dealt(h, buckets)
         full = np.flatnonzero(np.diff(cut))
-        blob = [_pack48(h[cut[b] : cut[b + 1]]) + np.minimum(n[cut[b] : cut[b + 1]], 65535).astype(np.uint16).tobytes() for b in full]
+        blob = [_join(_pack48(h[cut[b] : cut[b + 1]]), _planes(np.minimum(n[cut[b] : cut[b + 1]], 65535).astype(np.uint16))) for b in full]
         return _table([g] * len(full), ["h"] * len(full), blob, full)
 
     return send
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _expand(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int(np.frombuffer(blob, np.int64, 1)[0]), codec="zstd", asbytes=True)
+
+
+def _join(*parts: bytes) -> bytes:
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def _split(blob: bytes) -> list[bytes]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(blob, np.int64, n, 8))
+    return [blob[a:b] for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as all their first bytes, then all their second ones and so on, compressed."""
+    return _squeeze(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def _from_planes(blob: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_expand(blob), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _pack48(h: np.ndarray) -> bytes:
-    return (h >> U(16)).astype(np.uint32).tobytes() + (h & U(0xFFFF)).astype(np.uint16).tobytes()
+    """Sorted hashes as gaps, whose three low bytes are noise and stay as they are."""
+    gaps = h.copy()
+    gaps[1:] -= h[:-1]
+    octets = gaps.view(np.uint8).reshape(-1, 8)
+    return _join(octets[:, :3].tobytes(), _planes((gaps >> U(24)).astype(np.uint32)))
 
 
-def _unpack48(blob: bytes, n: int) -> np.ndarray:
-    return (np.frombuffer(blob, np.uint32, n).astype(U) << U(16)) | np.frombuffer(blob, np.uint16, n, 4 * n).astype(U)
+def _unpack48(blob: bytes) -> np.ndarray:
+    low, high = _split(blob)
+    octets = np.zeros((len(low) // 3, 8), np.uint8)
+    octets[:, :3] = np.frombuffer(low, np.uint8).reshape(-1, 3)
+    return np.cumsum(octets.view(U).ravel() | (_from_planes(high, np.uint32).astype(U) << U(24)), dtype=U)
 
 
 def _repeated(hot: int):
     def find(t: pa.Table) -> pa.Table:
-        blobs = t["payload"].to_pylist()
-        each = [_unpack48(b, len(b) // 8) for b in blobs]
-        n = np.concatenate([np.frombuffer(b, np.uint16, len(b) // 8, len(b) // 8 * 6) for b in blobs]).astype(np.int64)
+        blobs = [_split(b) for b in t["payload"].to_pylist()]
+        each = [_unpack48(h) for h, _ in blobs]
+        n = np.concatenate([_from_planes(n, np.uint16) for _, n in blobs]).astype(np.int64)
         h = np.concatenate(each)
         order = np.argsort(h, kind="stable")
         h, n = h[order], n[order]
@@ -244,7 +290,7 @@ def _repeated(hot: int):
                 if len(x):
                     gs.append(g)
                     kinds.append(kind)
-                    out.append(x.tobytes())
+                    out.append(_pack48(x))
         return _table(gs, kinds, out)
 
     return find
@@ -261,8 +307,7 @@ def _contexts(scheme: Scheme, buckets: int):
         g = docs["g"][0].as_py()
         group = _Group(scheme, docs, told)
         out: list[tuple[int, str, bytes]] = [(g % buckets, k, p) for k, p in group.told if k in ("copy", "hot")]
-        warm = np.unique(np.frombuffer(b"".join(group.payloads("warm")), U))
-        hot = np.unique(np.frombuffer(b"".join(group.payloads("hot")), U))
+        warm, hot = group.hashes("warm"), group.hashes("hot")
         found: list[tuple] = []
         for _, _, symbols, values, _, starts, lengths, rows, h in group.parts() if len(warm) else ():
             hit = np.isin(h, warm)
@@ -285,7 +330,7 @@ def _contexts(scheme: Scheme, buckets: int):
                 part = slice(cut[b], cut[b + 1])
                 x = first[part]
                 numbers = lengths[x].astype(np.uint8) | np.where(more[part], _SEVERAL, 0).astype(np.uint8)
-                out.append((int(b), "c", np.int64(len(x)).tobytes() + b"".join(v[x].tobytes() for v in (h, k1, k2, d)) + numbers.tobytes() + content[ranges(begin[x], span[x])].tobytes()))
+                out.append((int(b), "c", _join(_pack48(h[x]), _planes(d[x]), _planes(numbers), _squeeze(content[ranges(begin[x], span[x])].tobytes()))))
         return _table([g] * len(out), [k for _, k, _ in out], [p for _, _, p in out], [b for b, _, _ in out])
 
     return send
@@ -305,17 +350,21 @@ def _shard(scheme: Scheme):
         found = []
         for g, kind, p in zip(t["g"].to_pylist(), t["kind"].to_pylist(), t["payload"].to_pylist(), strict=True):
             if kind == "c":
-                n = int(np.frombuffer(p, np.int64, 1)[0])
-                h, k1, k2, d = (np.frombuffer(p, x, n, 8 + 8 * n * i) for i, x in enumerate((U, U, U, np.int64)))
-                numbers = np.frombuffer(p, np.uint8, n, 8 + 32 * n)
-                found.append((np.full(n, g), h, k1, k2, d, numbers, np.frombuffer(p, dtype, -1, 8 + 33 * n) if dtype is np.uint8 else np.frombuffer(p[8 + 33 * n :], dtype)))
+                h, d, numbers, content = _split(p)
+                h = _unpack48(h)
+                found.append((np.full(len(h), g, np.int32), h, _from_planes(d, np.int64), _from_planes(numbers, np.uint8), np.frombuffer(_expand(content), dtype)))
             else:
                 back(g, kind, p)
         if found:
-            g, h, k1, k2, d, numbers, content = (np.concatenate(x) for x in zip(*found, strict=True))
+            g, h, d, numbers, content = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
             several, lengths = numbers >= _SEVERAL, (numbers & (_SEVERAL - 1)).astype(np.int64)
-            span = lengths + scheme.length - 1
-            begin = np.cumsum(span) - span
+            offsets = np.r_[0, np.cumsum(lengths + scheme.length - 1)]
+            begin = offsets[:-1]
+            k1, k2 = np.empty(len(h), U), np.empty(len(h), U)
+            for lo, hi in blocks(offsets, _BLOCK):
+                part = content[offsets[lo] : offsets[hi]]
+                k1[lo:hi], k2[lo:hi] = _keys(scheme, _values(scheme.unit, part), begin[lo:hi] - begin[lo], lengths[lo:hi], h[lo:hi])
             first, again, member = _classes(k1, k2, d)
             again |= np.bincount(member, several, len(first)) > 0
             masks, later = np.zeros(len(first), U), np.zeros(len(first), U)
@@ -329,7 +378,7 @@ def _shard(scheme: Scheme):
             told = np.flatnonzero((own != 0) | (several & (later[member] != 0)))
             for i in np.unique(g[told]):
                 x = told[g[told] == i]
-                back(int(i), "cover", k1[x].tobytes() + k2[x].tobytes() + d[x].tobytes() + own[x].tobytes() + later[member[x]].tobytes())
+                back(int(i), "cover", _join(np.stack([k1[x], k2[x]]).tobytes(), *map(_planes, (d[x].view(U), own[x], later[member[x]]))))
         return _table(gs, kinds, out)
 
     return resolve
@@ -338,9 +387,10 @@ def _shard(scheme: Scheme):
 def covered(group: _Group) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows lo..hi at a time: their symbols, the symbols before each row, and which symbols are covered."""
     scheme = group.scheme
-    hot = np.unique(np.frombuffer(b"".join(group.payloads("hot")), U))
+    hot = group.hashes("hot")
     # Keys of contexts, the group's smallest doc that holds each, and the masks of this and of its other documents.
-    told = [np.frombuffer(p, U).reshape(5, -1) for p in group.payloads("cover")]
+    told = [_split(p) for p in group.payloads("cover")]
+    told = [np.concatenate([np.frombuffer(keys, U).reshape(2, -1), [_from_planes(x, U) for x in rest]]) for keys, *rest in told]
     told = np.concatenate(told, axis=1) if told else np.empty((5, 0), U)
     k1, k2, least, own, others = told[:, np.lexsort((told[1], told[0]))]
     same = np.flatnonzero(np.r_[True, k1[1:] != k1[:-1], True])

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievelake.llm import entries, passages, substring_dedup, suffix_dedup
@@ -101,3 +102,26 @@ def test_structures_against_brute_force():
             common = [next((k for k in range(8) if text[i + k] != text[j + k]), 8) for j in range(50) if docs[j] < docs[i]]
             assert lpf[i] == max(common, default=0)
     assert passages._SEVERAL > passages._RUN
+
+
+def test_contexts_travel_in_few_bytes():
+    rnd = random.Random(9)
+    syllables = "the in er on re an at nd st en ti es or ha ed th".split()
+    texts = [" ".join("".join(rnd.choices(syllables, k=rnd.randrange(1, 4))) for _ in range(3000)) for _ in range(8)]
+    docs = pa.table({"g": pa.array([0] * 8, pa.int32()), "doc_id": range(8), "text": texts, "mark": pa.array(range(8), pa.int64())})
+    scheme = passages.Scheme("byte", 50, 25, suffix_dedup.resolve_with_lpf)
+    sent = passages._minimizers(scheme, 1)(docs, passages._table([], [], []))
+    # Another group holds the same, so that all minimizers are told to be found in several documents.
+    told = passages._repeated(1024)(passages._table([0, 1], ["h", "h"], sent["payload"].to_pylist() * 2, [0, 0]).drop_columns("bucket"))
+    routed = [p for k, p in zip(*(passages._contexts(scheme, 1)(docs, told.filter(pa.compute.equal(told["g"], 0)))[c].to_pylist() for c in ("kind", "payload")), strict=True) if k == "c"]
+    windows = sum(len(t) - 49 for t in texts)
+    # A context has some 14 windows and 63 symbols. Both used to take 8 bytes a minimizer, and 33 besides the symbols a context.
+    assert sum(map(len, sent["payload"].to_pylist())) < 5 * windows / 13 and sum(map(len, routed)) < 45 * windows / 13
+
+
+def test_packed_entries_come_back():
+    for h in ([], [0], [(1 << 48) - 1], [0, 1, 1 << 24, (1 << 40) + 5, (1 << 48) - 1]):
+        assert passages._unpack48(passages._pack48(np.array(h, np.uint64))).tolist() == h
+    for x, kind in (([], np.int64), ([-5, 0, 1 << 62], np.int64), ([0, 255], np.uint8), ([(1 << 64) - 1, 3], np.uint64)):
+        assert passages._from_planes(passages._planes(np.array(x, kind)), kind).tolist() == x
+    assert passages._split(passages._join(b"", b"ab", b"")) == [b"", b"ab", b""]
