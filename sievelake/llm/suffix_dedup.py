@@ -21,10 +21,9 @@ from .symbols import U, ranges
 
 def suffix_order(content: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``starts`` by their first ``length`` bytes (ties by place), and each one's common prefix with the one before, up to ``length``."""
-    words = -(-length // 8)
-    padded = np.zeros((len(starts), words * 8), np.uint8)
-    padded[:, :length] = content[starts[:, None] + np.arange(length)]
-    keys = padded.view(">u8").astype(U)
+    padded = np.zeros((len(starts), length + length % 2), np.uint8)
+    padded[:, :length] = np.lib.stride_tricks.sliding_window_view(content, length)[starts]
+    keys = padded.view(">u2").astype(np.uint16)  # two bytes a key, which numpy sorts by radix
     order = np.lexsort(keys.T[::-1])
     padded = padded[order]
     lcp = np.zeros(len(starts), np.int64)
